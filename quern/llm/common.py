@@ -120,3 +120,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def squeezed(docs: DataFrame, *keys: str) -> DataFrame:
+    """The keys and each text as a zstandard frame ``z`` (null: the empty text).
+
+    Texts that have to be shuffled take a good third less disk and network this way than
+    under the shuffle's own codec.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in slices(batches, "text"):
+            z = pa.array([press.compress(x) for x in raw_texts(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), z], [*keys, "z"])
+
+    kinds = ", ".join(f"{k} {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, z binary")
+
+
+def raw_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
+    """The column's texts as UTF-8; null is the empty text."""
+    return pc.fill_null(batch.column(column).cast(pa.binary()), b"").to_pylist()
+
+
+def unsqueezer():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress

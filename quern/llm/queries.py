@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, packing, token_store
+from quern.llm import chat, packing, substrings, token_store
 from quern.llm.common import Workspace
 
 
@@ -31,10 +31,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_read(spark, sf_dir, "documents"), Workspace(spark, "substrings"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_token_store": op2_token_store,
     "op3_packing": op3_packing,
+    "op4_substrings": op4_substrings,
 }
 
 ORACLES = {
@@ -50,4 +55,30 @@ ORACLES = {
             CAST(sum(15 + length(regexp_replace(role, '\\|#|:|</turn>', 'xx', 'g')) + 6 * len(regexp_extract_all(role, '</turn>'))
                 + length(text) + len(regexp_extract_all(text, '\\|#|</turn>'))) AS BIGINT) AS formatted_chars
         FROM rows GROUP BY conv_id""",
+    "op4_substrings": r"""
+        WITH texts AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        windows AS (
+            SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS window_
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)),
+        firsts AS (SELECT window_, min(doc_id) AS least FROM windows GROUP BY window_),
+        repeats AS (
+            SELECT w.doc_id, list(DISTINCT w.i) AS starts FROM windows w JOIN firsts f ON w.window_ = f.window_
+            WHERE w.doc_id > f.least GROUP BY w.doc_id),
+        gone AS (
+            SELECT doc_id, list(DISTINCT p) AS positions
+            FROM (SELECT doc_id, unnest(range(s, s + 50)) AS p FROM (SELECT doc_id, unnest(starts) AS s FROM repeats))
+            GROUP BY doc_id),
+        kept AS (
+            SELECT t.doc_id, t.words, coalesce(g.positions, []) AS positions FROM texts t LEFT JOIN gone g ON t.doc_id = g.doc_id),
+        flat AS (
+            SELECT k.doc_id, u.p, k.words[u.p] AS word
+            FROM kept k, LATERAL (SELECT unnest(range(1, len(k.words) + 1)) AS p) u),
+        left_ AS (
+            SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.p) AS words FROM flat f
+            LEFT JOIN (SELECT doc_id, unnest(positions) AS p FROM gone) g ON f.doc_id = g.doc_id AND f.p = g.p
+            WHERE g.p IS NULL GROUP BY f.doc_id)
+        SELECT k.doc_id, CAST(len(k.words) AS BIGINT) AS n_words, CAST(len(k.positions) AS BIGINT) AS n_removed,
+            sha256(coalesce(l.words, '')) AS kept_sha256
+        FROM kept k LEFT JOIN left_ l ON k.doc_id = l.doc_id""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, packing, substrings, token_store
+from quern.llm import chat, packing, secret_scan, substrings, token_count, token_store
 from quern.llm.common import Workspace
 
 
@@ -35,11 +35,22 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents"), Workspace(spark, "substrings"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, _, ledger = secret_scan.update_ledger(_read(spark, sf_dir, "documents"), None, Workspace(spark, "secrets"))
+    return secret_scan.digest(secret_scan.findings_by_path(paths, ledger))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_token_store": op2_token_store,
     "op3_packing": op3_packing,
     "op4_substrings": op4_substrings,
+    "op6_secrets": op6_secrets,
+    "op7_token_counts": op7_token_counts,
 }
 
 ORACLES = {

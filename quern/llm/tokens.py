@@ -58,7 +58,8 @@ class ChunkEncoder:
         if len(self.known) > self.limit:
             self.known.clear()
         parts = [self.chunks(x) for x in texts]
-        self._learn(set().union(*parts) - self.known.keys())
+        known = self.known
+        self._learn({x for x in set().union(*parts) if x not in known})
         get = self.known.__getitem__
         return [b"".join(map(get, part)) for part in parts]
 

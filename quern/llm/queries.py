@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, packing, secret_scan, substrings, token_count, token_store
+from quern.llm import chat, decontaminate, packing, secret_scan, substrings, token_count, token_store, toxicity
 from quern.llm.common import Workspace
 
 
@@ -35,6 +35,10 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_read(spark, sf_dir, "documents"), Workspace(spark, "substrings"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, _, ledger = secret_scan.update_ledger(_read(spark, sf_dir, "documents"), None, Workspace(spark, "secrets"))
     return secret_scan.digest(secret_scan.findings_by_path(paths, ledger))
@@ -44,13 +48,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_token_store": op2_token_store,
     "op3_packing": op3_packing,
     "op4_substrings": op4_substrings,
+    "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, packing, secret_scan, substrings, token_count, token_store, toxicity
+from quern.llm import chat, decontaminate, minhash, packing, secret_scan, substrings, token_count, token_store, toxicity
 from quern.llm.common import Workspace
 
 
@@ -48,6 +48,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(_read(spark, sf_dir, "documents"), Workspace(spark, "minhash"), size=2)
+    return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
@@ -61,6 +66,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
+    "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
 }
 
@@ -103,4 +109,43 @@ ORACLES = {
         SELECT k.doc_id, CAST(len(k.words) AS BIGINT) AS n_words, CAST(len(k.positions) AS BIGINT) AS n_removed,
             sha256(coalesce(l.words, '')) AS kept_sha256
         FROM kept k LEFT JOIN left_ l ON k.doc_id = l.doc_id""",
+    "op9_minhash": r"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+            FROM documents),
+        sets AS (
+            SELECT doc_id, list_sort(CASE WHEN len(words) = 0 THEN []
+                WHEN len(words) = 1 THEN [words[1]]
+                ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END) AS shingles
+            FROM texts),
+        classes AS (
+            SELECT min(doc_id) AS id, any_value(shingles) AS shingles, any_value(len(shingles)) AS n
+            FROM sets WHERE len(shingles) > 0 GROUP BY md5(array_to_string(shingles, chr(10)))),
+        items AS (SELECT id, n, unnest(shingles) AS shingle FROM classes),
+        frequency AS (SELECT shingle, count(*) AS c FROM items GROUP BY shingle),
+        ranked AS (
+            SELECT i.id, i.n, i.shingle, row_number() OVER (PARTITION BY i.id ORDER BY f.c, i.shingle) AS place
+            FROM items i JOIN frequency f ON i.shingle = f.shingle),
+        -- sets at 0.8 share one of the first n - ceil(0.8 n) + 1 shingles in order of frequency
+        prefix AS (SELECT * FROM ranked WHERE place <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+        candidates AS (
+            SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.shingle = b.shingle
+            WHERE a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        common AS (
+            SELECT c.a, c.b, count(*) AS both_ FROM candidates c JOIN items x ON x.id = c.a
+            JOIN items y ON y.id = c.b AND y.shingle = x.shingle GROUP BY c.a, c.b),
+        links AS (
+            SELECT m.a, m.b FROM common m JOIN classes p ON p.id = m.a JOIN classes q ON q.id = m.b
+            WHERE 100 * m.both_ >= 80 * (p.n + q.n - m.both_)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (
+            SELECT id AS node, id AS other FROM classes
+            UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+        least_ AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+        of_set AS (SELECT md5(array_to_string(c.shingles, chr(10))) AS key, l.component FROM classes c JOIN least_ l ON l.node = c.id)
+        SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles,
+            CASE WHEN len(s.shingles) > 0 THEN o.component ELSE s.doc_id END AS component_id,
+            s.doc_id = CASE WHEN len(s.shingles) > 0 THEN o.component ELSE s.doc_id END AS kept
+        FROM sets s LEFT JOIN of_set o ON o.key = md5(array_to_string(s.shingles, chr(10)))""",
 }

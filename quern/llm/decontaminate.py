@@ -219,11 +219,9 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
             yield [(r.item_id, r.text) for r in rows]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, score, first and last word of the passage for each pair."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    result = docs.sparkSession.createDataFrame([], _PAIRS)
+def _prepared(rows: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """The broadcast index and seeds of each block."""
+    context = rows.sparkSession.sparkContext
     for items in _blocks(benchmark, block_bytes):
         index = Index.build(items)
         if not index.items:
@@ -232,6 +230,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
         frequency = np.zeros(len(index.grams), np.int64)
         for r in counted.toLocalIterator():  # a number for each n-gram of the block at most
             frequency[r.gram] = r.n
-        found = rows.mapInArrow(_match(context.broadcast((index, rare_seeds(index, frequency)))), _PAIRS)
-        result = result.unionByName(found)
+        yield context.broadcast((index, rare_seeds(index, frequency)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, score, first and last word of the passage for each pair."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    result = docs.sparkSession.createDataFrame([], _PAIRS)
+    for shared in _prepared(rows, benchmark, block_bytes):
+        result = result.unionByName(rows.mapInArrow(_match(shared), _PAIRS))
     return result
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item of the benchmark, filtered where they lie."""
+    rows = docs.select(F.col("text").cast("string").alias("text"))
+    for shared in _prepared(rows, benchmark, block_bytes):
+        docs = docs.mapInArrow(_filter(shared), docs.schema)
+    return docs
+
+
+def _filter(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(*shared.value)
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array([not matcher.pairs(x) for x in strings(batch, "text")], pa.bool_()))
+
+    return run

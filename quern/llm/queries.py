@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, decontaminate, minhash, packing, secret_scan, substrings, token_count, token_store, toxicity
+from quern.llm import chat, decontaminate, lattice, minhash, packing, secret_scan, substrings, token_count, token_store, toxicity
 from quern.llm.common import Workspace
 
 
@@ -48,6 +48,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_read(spark, sf_dir, "documents"))
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(_read(spark, sf_dir, "embeddings"), Workspace(spark, "lattice"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(_read(spark, sf_dir, "documents"), Workspace(spark, "minhash"), size=2)
     return found.select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
@@ -66,6 +70,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_secrets": op6_secrets,
     "op7_token_counts": op7_token_counts,
+    "op8_lattice": op8_lattice,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
 }
@@ -109,6 +114,23 @@ ORACLES = {
         SELECT k.doc_id, CAST(len(k.words) AS BIGINT) AS n_words, CAST(len(k.positions) AS BIGINT) AS n_removed,
             sha256(coalesce(l.words, '')) AS kept_sha256
         FROM kept k LEFT JOIN left_ l ON k.doc_id = l.doc_id""",
+    "op8_lattice": """
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
+                AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),
+        reach AS (
+            SELECT vec_id AS node, vec_id AS other FROM embeddings
+            UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+        least_ AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT l.node AS vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, l.component_id, l.node = l.component_id AS kept
+        FROM least_ l LEFT JOIN counts c ON c.a = l.node""",
     "op9_minhash": r"""
         WITH RECURSIVE texts AS (
             SELECT doc_id, regexp_extract_all(

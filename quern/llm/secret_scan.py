@@ -17,7 +17,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -127,14 +126,23 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def _redact_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpress = unsqueezer()
-    for batch in slices(batches, "z", 2 << 20):
-        texts = []
-        for z, spans in zip(batch.column("z").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-            texts.append(redact(unpress(z).decode(), [(s["kind"], s["start"], s["end"]) for s in spans]))
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(texts, pa.string())], ["blob", "redacted"])
+def redacted(docs: DataFrame, space: Workspace) -> DataFrame:
+    """The rows of ``docs`` with every secret in ``text`` replaced, and ``n_chars``, if there, set anew."""
+    _, _, ledger = update_ledger(docs, None, space)
+    some = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    joined = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(some, "_blob", "left").drop("_blob")
+
+    names = docs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            for k, spans in enumerate(batch.column("_spans").to_pylist()):
+                if spans:
+                    texts[k] = redact(texts[k], [(s["kind"], s["start"], s["end"]) for s in spans])
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
+    found = joined.mapInArrow(run, docs.schema)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.llm.common import slices, strings
 
@@ -215,9 +216,8 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame
             scores = pa.array([shared.value.score(x) for x in strings(batch, "text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, name])
 
-    docs = docs.select(*rest)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
+    docs = docs.select(*(F.col(f"`{c}`") for c in rest))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def is_held_out(doc_id: int) -> bool:

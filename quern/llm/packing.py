@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import crc32, slices, strings
+from quern.llm.common import crc32, slices
 from quern.llm.tokens import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -139,7 +139,7 @@ def _pack(path: str, end: int, window: int, block_tokens: int, with_ids: bool):
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in slices(batches, "text"):
-            for doc, data in zip(batch.column("doc_id").to_pylist(), encode.encode(strings(batch, "text")), strict=True):
+            for doc, data in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
                 docs.append(doc)
                 ids.append(data + tail)
                 tokens += len(data) // 4 + 1

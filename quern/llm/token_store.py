@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import Workspace, crc32, slices, strings
+from quern.llm.common import Workspace, crc32, slices
 from quern.llm.tokens import encoder, tokenizer_path
 
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
@@ -91,7 +91,7 @@ def _write(path: str, end: int, width: int, dictionary: bytes):
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in slices(batches, "text"):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(strings(batch, "text")), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
                 ids += tail
                 data = press.compress(serialize(ids, width))
                 index.append((doc or 0, int(doc is None), size, len(data), len(ids) // 4))
@@ -113,7 +113,7 @@ def write_store(docs: DataFrame, space: Workspace, path: str | None = None, end:
     width = 2 if max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else 4
     short = docs.filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
     sample = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()
-    dictionary = train_dictionary([serialize(x, width) for x in encode.encode([r.text for r in sample])])
+    dictionary = train_dictionary([serialize(x, width) for x in encode.encode(pa.array([r.text for r in sample], pa.string()))])
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return space.table(ordered.mapInArrow(_write(path, end, width, dictionary), _SHARDS), "shards"), dictionary
 

@@ -5,9 +5,19 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_GAP = re.compile(r"\s ")
+#: White space beside a space or line feed, for RE2: all that the pre-tokenizer or Python counts as such.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
+_GAP = rf"{_WHITE}[ \n]|\n{_WHITE}|\x00"
 _CUT = re.compile(r"(?<=\S)(?= )")
+_EASY = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: The public byte alphabet: bytes that aren't printable are moved behind Latin-1, in order.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+del _BYTES[10]  # parts are put on lines
+_BYTES_SPACE = chr(_BYTES[32])
 _ENCODERS: dict[tuple[str, bool, bool], "ChunkEncoder"] = {}
 
 
@@ -27,57 +37,141 @@ def load(path: str, plain_special: bool = False):
     return tokenizer
 
 
+class Sequences:
+    """Many id sequences in one array."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begins, self.sizes, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Appends sequences of the given sizes; their numbers."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while self.count + len(sizes) > len(self.sizes):
+            self.begins = np.concatenate((self.begins, np.zeros_like(self.begins)))
+            self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+        new = slice(self.count, self.count + len(sizes))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begins[new], self.sizes[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.count = self.used + len(ids), new.stop
+        return range(new.start, new.stop)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sequences one after the other, and where each ends."""
+        sizes = self.sizes[which]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.begins[which] - ends + sizes, sizes) + np.arange(total)], ends
+
+
 class ChunkEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     A text is cut into chunks where its pre-tokenizer cuts anyway, and chunks seen before
     are not encoded again. ``spaces``: the vocabulary keeps white space (byte-level
-    patterns, in which a word takes one space before it), so a chunk keeps the white
-    space before it. Without, white space only separates (patterns that drop it).
-    No token crosses from a character that isn't white space to a space, so cutting
-    there changes no id.
+    patterns, in which a word takes one space before it), so a chunk keeps the space
+    before it, and a lone line feed is a chunk. Without, spaces and line feeds only
+    separate (patterns that drop them). No token crosses from a character that isn't white
+    space to a space, or a line feed between two such characters, so cutting there changes
+    no id.
+
+    Most new chunks are a word of Latin-1 letters, perhaps with a punctuation mark behind it.
+    The pre-tokenizer makes one or two parts of these, so they go to the model as such.
     """
 
-    def __init__(self, path: str, spaces: bool, plain_special: bool = False, limit: int = 500_000):
-        self.tokenizer = load(path, plain_special)
+    def __init__(self, path: str, spaces: bool, plain_special: bool = False, limit: int = 900_000):
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer, self.model_only = load(path, plain_special), load(path, plain_special)
+        self.model_only.normalizer, self.model_only.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.spaces, self.limit = spaces, limit
-        #: A line feed before a space, or a lone control character between spaces, is a token
-        #: of its own. No printable chunk holds either.
-        self.mark = "\n" if spaces else " \0 "
-        (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.clear()
 
-    def chunks(self, text: str) -> list[str]:
-        if not self.spaces:
-            return text.split(" ")
-        if "\0" in text or _GAP.search(text):
-            return _CUT.split(text)
-        return text.replace(" ", "\0 ").split("\0")
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.store = Sequences()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is the empty text."""
+        texts = pc.fill_null(texts, "")
+        if not self.spaces:
+            return self._encode(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+        odd = pc.match_substring_regex(texts, _GAP)
+        if not pc.any(odd).as_py():
+            return self._encode(self._cut(texts))
+        rare = pa.array([_CUT.split(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+        found, rest = iter(self._encode(rare)), iter(self._encode(self._cut(texts.filter(pc.invert(odd)))))
+        return [next(found if x else rest) for x in odd.to_pylist()]
+
+    @staticmethod
+    def _cut(texts: pa.Array) -> pa.Array:
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
+        return pc.split_pattern(marked, "\0")
+
+    def _encode(self, chunks: pa.Array) -> list[bytes]:
+        """The ids of lists of chunks: each distinct chunk is looked up once, the rest is array work."""
+        if not len(chunks):
+            return []
         if len(self.known) > self.limit:
-            self.known.clear()
-        parts = [self.chunks(x) for x in texts]
-        known = self.known
-        self._learn({x for x in set().union(*parts) if x not in known})
-        get = self.known.__getitem__
-        return [b"".join(map(get, part)) for part in parts]
-
-    def _learn(self, new: set[str]) -> None:
-        """Encode many short chunks as a few long texts, in which a mark of one id parts them."""
-        alone = [x for x in new if not x.isprintable() or "<|" in x or (self.spaces and (x[:1] + x[1:2] in ("", " ", "  ") or x[-1] == " "))]
-        for x, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.known[x] = np.array(found.ids, "<u4").tobytes()
-        rest = list(new.difference(alone) if alone else new)
-        groups = [rest[at : at + 500] for at in range(0, len(rest), 500)]
-        joined = self.tokenizer.encode_batch_fast([self.mark.join(g) for g in groups], add_special_tokens=False)
-        for group, found in zip(groups, joined, strict=True):
-            ids = np.array(found.ids, "<u4")
-            marks = np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            begins = [0, *(4 * (marks + 1)).tolist()]
-            ends = [*(4 * marks).tolist(), len(raw)]
-            self.known.update(zip(group, map(raw.__getitem__, map(slice, begins, ends)), strict=True))
+            self.clear()
+        coded = chunks.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        places = list(map(self.known.get, names))
+        if missing := [k for k, x in enumerate(places) if x is None]:
+            for k, place in zip(missing, self._learn([names[k] for k in missing]), strict=True):
+                places[k] = place
+        ids, ends = self.store.take(np.array(places, np.int64)[coded.indices.to_numpy()])
+        raw = ids.astype("<u4", copy=False).tobytes()
+        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        cuts = (4 * np.concatenate(([0], ends))[offsets]).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _learn(self, new: list[str]) -> list[int]:
+        """Encodes new chunks; their numbers in the store."""
+        easy, hard = [], []
+        for x in new:
+            m = _EASY.fullmatch(x)
+            if m is None:
+                hard.append(x)
+            else:
+                easy.append((x, *m.groups()))
+        if hard:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
+            self.known.update(zip(hard, self.store.add(np.concatenate(found), np.array([len(x) for x in found])), strict=True))
+        if easy:
+            chunks, words, marks = zip(*easy, strict=True)
+            parts = self._parts({*words, *marks})
+            index = {x: k for k, x in enumerate(parts[0])}
+            both = np.empty(2 * len(chunks), np.int64)
+            both[::2], both[1::2] = [index[x] for x in words], [index[x] for x in marks]
+            ids, ends = parts[1].take(both)
+            self.known.update(zip(chunks, self.store.add(ids, np.diff(ends[1::2], prepend=0)), strict=True))
+        return list(map(self.known.__getitem__, new))
+
+    def _parts(self, parts: set[str]) -> tuple[list[str], Sequences]:
+        """Encodes pre-tokens, joined by a mark to long texts for the model: its other steps
+        leave these characters alone but for the byte alphabet and lower case."""
+        parts = sorted(filter(None, parts), key=str.isascii)  # so that most long texts are of ASCII alone
+        mark = "."
+        (mark_id,) = self.model_only.encode(mark, add_special_tokens=False).ids
+        found = Sequences()
+        for at in range(0, len(parts), 500):
+            some = parts[at : at + 500]
+            joined = f"\n{mark}\n".join(some)
+            joined = joined if self.spaces else joined.lower()
+            text = joined.replace(" ", _BYTES_SPACE) if joined.isascii() else joined.encode().decode("latin-1").translate(_BYTES)
+            ids = np.array(self.model_only.encode(text, add_special_tokens=False).ids, np.uint32)
+            at_mark = np.flatnonzero(ids == mark_id)
+            if len(at_mark) != len(some) - 1:  # the mark is among the parts
+                own = [np.array(self.model_only.encode(x, add_special_tokens=False).ids, np.uint32) for x in text.split(f"\n{mark}\n")]
+                found.add(np.concatenate(own), np.array([len(x) for x in own]))
+                continue
+            keep = np.ones(len(ids), bool)
+            keep[at_mark] = False
+            found.add(ids[keep], np.diff(np.concatenate((at_mark, [len(ids)])), prepend=-1) - 1)
+        found.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
+        return [*parts, ""], found
 
 
 def encoder(path: str, spaces: bool, plain_special: bool = False) -> ChunkEncoder:

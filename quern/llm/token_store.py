@@ -14,7 +14,7 @@ dictionary, which is named by its hash:
 
 So one document is read from its row's index and a slice of the blob, without its neighbours.
 The dictionary is trained on the serialized ids of a bounded sample (``SAMPLE_DOCS`` documents
-of at most ``SAMPLE_CHARS`` characters, lowest hashes of doc_id first) and affects sizes only.
+of at most ``SAMPLE_CHARS`` characters, the first in the input) and affects sizes only.
 
 Defined results: a null or empty text has only the end id; rows of one doc_id are ordered by
 text; other columns are ignored; an empty table gives no rows.
@@ -68,6 +68,8 @@ def _codec(dictionary: bytes):
     import zstandard
 
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if shared:
+        shared.precompute_compress(level=LEVEL)  # else each document would digest the dictionary anew
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
 
 
@@ -112,7 +114,7 @@ def write_store(docs: DataFrame, space: Workspace, path: str | None = None, end:
     encode = encoder(path, spaces=True)
     width = 2 if max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else 4
     short = docs.filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    sample = short.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("text").collect()
+    sample = short.select("text").limit(SAMPLE_DOCS).collect()  # reads only as many partitions as it needs
     dictionary = train_dictionary([serialize(x, width) for x in encode.encode(pa.array([r.text for r in sample], pa.string()))])
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return space.table(ordered.mapInArrow(_write(path, end, width, dictionary), _SHARDS), "shards"), dictionary

@@ -80,17 +80,19 @@ class ChunkEncoder:
     The pre-tokenizer makes one or two parts of these, so they go to the model as such.
     """
 
-    def __init__(self, path: str, spaces: bool, plain_special: bool = False, limit: int = 900_000):
+    #: Chunks in one of two generations: when the new one is full, it becomes the old one, and
+    #: what is met again moves to the next new one without being encoded again.
+    LIMIT = 400_000
+
+    def __init__(self, path: str, spaces: bool, plain_special: bool = False):
         from tokenizers import pre_tokenizers
 
         self.tokenizer, self.model_only = load(path, plain_special), load(path, plain_special)
         self.model_only.normalizer, self.model_only.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.spaces, self.limit = spaces, limit
-        self.clear()
-
-    def clear(self) -> None:
+        self.spaces = spaces
         self.known: dict[str, int] = {}
         self.store = Sequences()
+        self.old, self.old_store = self.known, self.store
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; null is the empty text."""
@@ -113,8 +115,8 @@ class ChunkEncoder:
         """The ids of lists of chunks: each distinct chunk is looked up once, the rest is array work."""
         if not len(chunks):
             return []
-        if len(self.known) > self.limit:
-            self.clear()
+        if len(self.known) > self.LIMIT:
+            self.old, self.old_store, self.known, self.store = self.known, self.store, {}, Sequences()
         coded = chunks.flatten().dictionary_encode()
         names = coded.dictionary.to_pylist()
         places = list(map(self.known.get, names))
@@ -128,9 +130,13 @@ class ChunkEncoder:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, new: list[str]) -> list[int]:
-        """Encodes new chunks; their numbers in the store."""
+        """Takes over or encodes new chunks; their numbers in the store."""
+        if again := [(x, place) for x, place in zip(new, map(self.old.get, new), strict=True) if place is not None]:
+            names, places = zip(*again, strict=True)
+            ids, ends = self.old_store.take(np.array(places, np.int64))
+            self.known.update(zip(names, self.store.add(ids, np.diff(ends, prepend=0)), strict=True))
         easy, hard = [], []
-        for x in new:
+        for x in new if not again else [x for x in new if x not in self.known]:
             m = _EASY.fullmatch(x)
             if m is None:
                 hard.append(x)

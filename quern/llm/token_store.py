@@ -146,7 +146,7 @@ def read_document(shards: DataFrame, dictionary: bytes, doc_id: int) -> list[lis
     found = []
     rows = shards.filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id))
     for row in rows.select("width", "index", "blob").toLocalIterator():
-        for doc, null, at, size, _ in np.frombuffer(bytes(row.index), "<i8").reshape(-1, 5).tolist():
+        for doc, null, at, size, _ in np.frombuffer(bytes(row["index"]), "<i8").reshape(-1, 5).tolist():
             if doc == doc_id and not null:
                 ids = deserialize(unpress.decompress(bytes(row.blob)[at : at + size]), row.width)
                 found.append(np.frombuffer(ids, "<u4").tolist())

@@ -125,12 +125,13 @@ def solve_rate(values: np.ndarray, shares: np.ndarray) -> float:
     mean = float((values * shares).sum())
     if mean >= 0 or values.max() <= 0:
         return 1.0
+    total = lambda rate: (shares * np.exp(np.minimum(rate * values, 700))).sum()
     low, high = 0.0, 1.0
-    while (shares * np.exp(high * values)).sum() < 1 and high < 1e3:
+    while total(high) < 1 and high < 1e3:
         low, high = high, 2 * high
     for _ in range(100):
         middle = (low + high) / 2
-        low, high = (middle, high) if (shares * np.exp(middle * values)).sum() < 1 else (low, middle)
+        low, high = (middle, high) if total(middle) < 1 else (low, middle)
     return max(high, 1e-3)
 
 

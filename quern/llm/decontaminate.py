@@ -1,8 +1,9 @@
 """Benchmark decontamination (operator 5): rare n-gram seeds, then Smith-Waterman alignment.
 
 1. *Rare seeds.* The documents holding each ``GRAM``-word sequence of a benchmark item are
-   counted over the whole corpus. An item's seeds are the rarer half of its distinct sequences
-   (and all that are as rare as the median one). Items shorter than ``GRAM`` words have one
+   counted over the whole corpus. An item's seeds are all but its common phrases, which are in
+   more than twice as many documents (and ten) as the median one of its sequences that occur.
+   So copies alone never make a sequence common. Items shorter than ``GRAM`` words have one
    seed, all their words.
 2. *Join.* Every occurrence of a seed in a document proposes the stretch of the document that
    the item would cover there, with a quarter of its length as slack; overlapping stretches of
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import mix, slices, strings
-from quern.llm.toxicity import plain_words
 
 GRAM = 5
 THRESHOLD = 0.5
@@ -41,21 +42,28 @@ MISMATCH = GAP = 0.5
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 20
 
+#: ASCII punctuation and control characters separate words.
+_APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+
 _PAIRS = "doc_id long, item_id long, score double, first long, last long"
 
 
+def plain_words(text: str) -> list[bytes]:
+    return text.lower().encode().translate(_APART).split()
+
+
 @dataclass
 class Index:
     """The n-grams of a block of benchmark items."""
 
     items: list[tuple[int, np.ndarray]]
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     grams: np.ndarray  # sorted distinct n-gram hashes
     size: int
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], size: int = GRAM) -> "Index":
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         coded = []
         for item, text in items:
             words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in plain_words(text)]
@@ -69,8 +77,7 @@ class Index:
 
     def codes(self, text: str) -> np.ndarray:
         words = plain_words(text)
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
 
 def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -189,7 +196,9 @@ def rare_seeds(index: Index, frequency: np.ndarray) -> np.ndarray:
     rows = []
     for k, (_, codes) in enumerate(index.items):
         grams = np.searchsorted(index.grams, gram_hashes(codes, min(index.size, len(codes))))
-        limit = np.quantile(frequency[np.unique(grams)], 0.5, method="higher")
+        occurring = frequency[np.unique(grams)]
+        occurring = occurring[occurring > 0]
+        limit = 2 * np.median(occurring) + 10 if len(occurring) else 0
         places = np.flatnonzero(frequency[grams] <= limit)
         rows.append(np.column_stack([grams[places], np.full(len(places), k), places]))
     return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)

@@ -11,11 +11,14 @@ lower-casing A-Z; with fewer words, the whole sequence as one), as 64-bit hashes
 * *Banding.* ``BANDS`` bands of ``ROWS`` coordinates: a pair at similarity 0.8 shares no band
   with probability 3e-6.
 * *Copies.* Documents with one set are a class; classes are the nodes of all that follows.
-* *Exact verification* on full sets, in two steps that never list all pairs of a group: first
-  each class against the first class of each of its bands. Linked classes are joined to
-  components, and only where a band still holds several components are pairs of classes from
-  different ones verified. A pair inside one component can't change the result. So a group of
-  thousands of near copies costs one verification per member, and no candidate is dropped.
+* *Exact verification* on full sets, without listing all pairs of a group. First each class is
+  verified against the first class of each of its bands, and linked classes are joined to
+  components. A pair inside one component can't change the result, so only bands that still hold
+  several components go on, with all pairs of classes from different ones. Before any text is
+  fetched, sizes and bitmaps of the sets rule out pairs that can't be linked (and no other),
+  inside the join. So the join makes few rows even for a group whose members nearly reach the
+  threshold, although within a band it compares them all by their bitmaps. No candidate is
+  dropped.
 
 A verification ships the member's text to its leader's; the members of one leader are dealt to
 parts of ``PART`` at most, so a hot leader is spread.
@@ -44,6 +47,8 @@ T = BANDS * ROWS
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 PART = 256
+#: Bits in which sets are compared before texts are.
+BITS = 2048
 _LEAST_ID = -(1 << 63)
 _UNFILLED = np.uint64((1 << 64) - 1)
 _CODES: list[WordCodes] = []
@@ -92,6 +97,23 @@ def bands(table: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of ``BITS`` hashed bits for each set, as longs."""
+    table = np.zeros((len(sets), BITS), bool)
+    for row, s in zip(table, sets, strict=True):
+        row[(s >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(table, axis=1, bitorder="little").view("<i8")
+
+
+def possible(a: str, b: str) -> str:
+    """SQL: whether two sets can be linked, by their sizes and bitmaps. Elements of one set whose
+    bit the other lacks aren't shared, so their number bounds the intersection from above; only
+    pairs that can't be linked are ruled out."""
+    lacks = lambda x, y: f"aggregate(zip_with(bits{x}, bits{y}, (p, q) -> bit_count(p & ~q)), 0, (t, c) -> t + c)"
+    sizes = f"100 * least(n{a}, n{b}) >= {PERCENT} * greatest(n{a}, n{b})"
+    return f"{sizes} AND {100 + PERCENT} * least(n{a} - {lacks(a, b)}, n{b} - {lacks(b, a)}) >= {PERCENT} * (n{a} + n{b})"
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -103,7 +125,9 @@ def _sketch(size: int):
             columns = [batch.column("doc_id"), batch.column("h"), pa.array(sizes.astype(np.int64))]
             columns += [pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())]
             columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "s", "bands"])
+            maps = bitmaps(sets)
+            columns += [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * maps.shape[1]), pa.array(maps.ravel()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "s", "bands", "bits"])
 
     return run
 
@@ -154,19 +178,19 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
 
 def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    n = classes.select("id", "n")
-    sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+    """Pairs that can be linked."""
+    for x in "ab":
+        pairs = pairs.join(classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
+    return pairs.filter(possible("a", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, size: int = 5) -> DataFrame:
     """doc_id, h (a hash of the text), n_shingles and component_id of each row."""
     rows = _identified(docs)
-    sketch = rows.select("doc_id", "h", "text").mapInArrow(_sketch(size), "doc_id long, h long, n long, s binary, bands array<long>")
+    sketch = rows.select("doc_id", "h", "text").mapInArrow(_sketch(size), "doc_id long, h long, n long, s binary, bands array<long>, bits array<long>")
     sketch = space.table(sketch, "sketch")
     key = F.struct(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("key"), "h")
-    classes = sketch.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"), F.min(key).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = sketch.filter("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"), F.min(key).alias("at"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     classes = space.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("id", "n", F.explode("bands").alias("band"))
@@ -181,10 +205,11 @@ def near_duplicates(docs: DataFrame, space: Workspace, size: int = 5) -> DataFra
     named = grouped.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
     named = space.table(named, "named")
     several = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
-    rest = space.table(named.join(several, "band"), "rest")
-    left, right = (rest.select("band", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"comp{x}")) for x in "ab")
-    pairs = left.join(right, "band").filter(f"a > b AND compa <> compb AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-    second = space.table(pairs.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "second")
+    rest = named.join(space.table(several, "several"), "band").join(classes.select("id", "bits"), "id")
+    rest = space.table(rest, "rest")
+    left, right = (rest.select("band", *(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in ("id", "n", "comp", "bits"))) for x in "ab")
+    pairs = left.join(right, "band").filter(f"a > b AND compa <> compb AND {possible('a', 'b')}").select("a", "b").distinct()
+    second = space.table(pairs, "second")
     if not second.isEmpty():
         more = space.table(_links(second, texts, size), "more-links")
         found = components(links.unionByName(more), space, "all")

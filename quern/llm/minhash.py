@@ -16,7 +16,7 @@ lower-casing A-Z; with fewer words, the whole sequence as one), as 64-bit hashes
   components. A pair inside one component can't change the result, so only bands that still hold
   several components go on, with all pairs of classes from different ones. Before any text is
   fetched, sizes and bitmaps of the sets rule out pairs that can't be linked (and no other),
-  inside the join. So the join makes few rows even for a group whose members nearly reach the
+  inside the join, and a pair comes out of one band alone. So the join makes few rows even for a group whose members nearly reach the
   threshold, although within a band it compares them all by their bitmaps. No candidate is
   dropped.
 
@@ -205,10 +205,12 @@ def near_duplicates(docs: DataFrame, space: Workspace, size: int = 5) -> DataFra
     named = grouped.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
     named = space.table(named, "named")
     several = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
-    rest = named.join(space.table(several, "several"), "band").join(classes.select("id", "bits"), "id")
+    rest = named.join(space.table(several, "several"), "band").join(classes.select("id", "bits", "bands"), "id")
     rest = space.table(rest, "rest")
-    left, right = (rest.select("band", *(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in ("id", "n", "comp", "bits"))) for x in "ab")
-    pairs = left.join(right, "band").filter(f"a > b AND compa <> compb AND {possible('a', 'b')}").select("a", "b").distinct()
+    left, right = (rest.select("band", *(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in ("id", "n", "comp", "bits", "bands"))) for x in "ab")
+    # a pair that shares several bands comes out of the least one
+    once = "array_min(array_intersect(bandsa, bandsb)) = band"
+    pairs = left.join(right, "band").filter(f"a > b AND compa <> compb AND {possible('a', 'b')} AND {once}").select("a", "b").distinct()
     second = space.table(pairs, "second")
     if not second.isEmpty():
         more = space.table(_links(second, texts, size), "more-links")

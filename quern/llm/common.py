@@ -93,7 +93,7 @@ def lower_ascii(data: bytes) -> bytes:
 class WordCodes(dict):
     """64-bit codes of words, remembered up to a bounded number of words."""
 
-    LIMIT = 600_000
+    LIMIT = 150_000
 
     def __init__(self, seed: int = 0):
         super().__init__()

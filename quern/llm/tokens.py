@@ -82,7 +82,7 @@ class ChunkEncoder:
 
     #: Chunks in one of two generations: when the new one is full, it becomes the old one, and
     #: what is met again moves to the next new one without being encoded again.
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, path: str, spaces: bool, plain_special: bool = False):
         from tokenizers import pre_tokenizers

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Largest number of text bytes that a Python step holds as one slice.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+_MEMORIES: dict[tuple, object] = {}
+
+
+def remembered(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker remembers under ``key``.
+
+    Workers outlive stages, so at a key's first use all others are forgotten, and what they
+    took goes back to the system.
+    """
+    if key not in _MEMORIES:
+        _MEMORIES.clear()
+        give_back()
+        _MEMORIES[key] = make()
+    return _MEMORIES[key]
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library's
+        if trim:
+            trim(0)
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordCodes, Workspace, lower_ascii, mix, raw_texts, slices, squeezed, unsqueezer
+from quern.llm.common import WordCodes, Workspace, lower_ascii, mix, raw_texts, remembered, slices, squeezed, unsqueezer
 from quern.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -51,14 +51,11 @@ PART = 256
 BITS = 2048
 _LEAST_ID = -(1 << 63)
 _UNFILLED = np.uint64((1 << 64) - 1)
-_CODES: list[WordCodes] = []
 
 
 def shingle_set(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    if not _CODES:
-        _CODES.append(WordCodes())
-    codes = _CODES[0].of(lower_ascii(text).split())  # of bytes, split() cuts at these six white-space bytes alone
+    codes = remembered(("words",), WordCodes).of(lower_ascii(text).split())  # of bytes, split() cuts at these six white-space bytes alone
     if not len(codes):
         return codes
     n = max(1, len(codes) - size + 1)

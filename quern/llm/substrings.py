@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordCodes, Workspace, mix, raw_texts, slices, squeezed, unsqueezer
+from quern.llm.common import WordCodes, Workspace, mix, raw_texts, remembered, slices, squeezed, unsqueezer
 
 WIDTH = 50
 #: Words that a name may replace, by round.
@@ -58,13 +58,10 @@ _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _CHUNKS = "a long, c1 long, c2 long, doc_id long, h short, w0 int, w1 int"
 _WINDOWS = "x1 long, x2 long, doc_id long, h short, w int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-_CODES: list[WordCodes] = []
 
 
 def _codes() -> WordCodes:
-    if not _CODES:
-        _CODES.append(WordCodes())
-    return _CODES[0]
+    return remembered(("words",), WordCodes)
 
 
 def recompress(names: np.ndarray, text: np.ndarray, rounds: tuple[int, ...] = ROUNDS) -> tuple[np.ndarray, np.ndarray]:

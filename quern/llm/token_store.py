@@ -38,6 +38,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
 #: Bytes of ids (uncompressed) and documents in one shard, at least one document.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 4096
 LEVEL = 1
+#: Text bytes that are encoded together: each distinct chunk among them is looked up once.
+ENCODE_BYTES = 8 << 20
 
 _SHARDS = (
     "part long, shard long, first_doc long, last_doc long, n_docs long, n_tokens long, "
@@ -92,7 +94,7 @@ def _write(path: str, end: int, width: int, dictionary: bytes):
             names = [x.split()[0] for x in _SHARDS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", ENCODE_BYTES):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
                 ids += tail
                 data = press.compress(serialize(ids, width))

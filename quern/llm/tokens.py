@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quern.llm.common import remembered
+
 #: White space beside a space or line feed, for RE2: all that the pre-tokenizer or Python counts as such.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _GAP = rf"{_WHITE}[ \n]|\n{_WHITE}|\x00"
@@ -18,7 +20,6 @@ _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 del _BYTES[10]  # parts are put on lines
 _BYTES_SPACE = chr(_BYTES[32])
-_ENCODERS: dict[tuple[str, bool, bool], "ChunkEncoder"] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -85,10 +86,11 @@ class ChunkEncoder:
     LIMIT = 250_000
 
     def __init__(self, path: str, spaces: bool, plain_special: bool = False):
-        from tokenizers import pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.model_only = load(path, plain_special), load(path, plain_special)
-        self.model_only.normalizer, self.model_only.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.tokenizer = load(path, plain_special)
+        self.model_only = Tokenizer(self.tokenizer.model)  # shared, not copied
+        self.model_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.spaces = spaces
         self.known: dict[str, int] = {}
         self.store = Sequences()
@@ -185,7 +187,4 @@ def encoder(path: str, spaces: bool, plain_special: bool = False) -> ChunkEncode
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    key = (path, spaces, plain_special)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(*key)
-    return _ENCODERS[key]
+    return remembered(("encoder", path, spaces, plain_special), lambda: ChunkEncoder(path, spaces, plain_special))

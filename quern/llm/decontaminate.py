@@ -1,16 +1,21 @@
-"""Benchmark decontamination (operator 5): rare n-gram seeds, then Smith-Waterman alignment.
-
-1. *Rare seeds.* The documents holding each ``GRAM``-word sequence of a benchmark item are
-   counted over the whole corpus. An item's seeds are all but its common phrases, which are in
-   more than twice as many documents (and ten) as the median one of its sequences that occur.
-   So copies alone never make a sequence common. Items shorter than ``GRAM`` words have one
-   seed, all their words.
-2. *Join.* Every occurrence of a seed in a document proposes the stretch of the document that
-   the item would cover there, with a quarter of its length as slack; overlapping stretches of
-   one item are joined.
+"""Benchmark decontamination (operator 5): seeds that miss no pair, then Smith-Waterman alignment.
+
+1. *Seeds.* Two words matched one after the other are a good pair if at most one error (a word
+   replaced, added or missing) is between them, so they are one or two places apart in the item
+   and in the document. Where an item of L words scores L/2 with m matches, there are at most
+   2m - L errors, thus at least ceil(L/2) - 1 good pairs, each with a first word of its own, and
+   the passage has at most 2L words. One good pair at least is left when the ceil(L/2) - 2 places
+   of the item whose pairs most items share are not looked up: the other places' pairs are the
+   seeds. Items shorter than ``GRAM`` words have one seed, all their words.
+2. *Join.* Where a document holds a seed, the places of all pairs of the item are counted, and
+   ceil(L/2) - 1 of them within 2L words propose the stretch that a passage with them can cover;
+   overlapping stretches of one item are joined.
 3. *Alignment.* Smith-Waterman over words (match 1, mismatch and gap -1/2) scores each stretch.
    The score over the item's length, 1 for a verbatim copy, is that of the pair; pairs with
-   ``THRESHOLD`` or more are contamination.
+   ``THRESHOLD`` (half, which the counts above rest on) or more are contamination. For items of
+   ``GRAM`` words or more, these are the pairs that aligning whole documents would find.
+
+Seeds depend on the benchmark alone: how many documents hold a passage changes nothing.
 
 The benchmark is the stated query set: it is taken in blocks of at most ``BLOCK_BYTES`` of text,
 so what is broadcast has a proven bound whatever the benchmark's size, and each block meets all
@@ -52,28 +57,54 @@ def plain_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(_APART).split()
 
 
+def good_pairs(length: int) -> int:
+    """Good pairs that an item of so many words has at least in an alignment at the threshold."""
+    return (length + 1) // 2 - 1
+
+
 @dataclass
 class Index:
-    """The n-grams of a block of benchmark items."""
+    """The seeds of a block of benchmark items."""
 
     items: list[tuple[int, np.ndarray]]
     vocabulary: dict[bytes, int]
-    grams: np.ndarray  # sorted distinct n-gram hashes
-    size: int
+    whole: dict[int, dict[int, list[int]]]  # of short items: those of each hash, by size
+    grams: np.ndarray  # sorted distinct hashes of the other items' pairs
+    pairs: dict[int, np.ndarray]  # the distinct pairs of each of them
+    starts: np.ndarray  # where the items of each pair that is a seed begin in ``seeded``
+    seeded: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], size: int = GRAM) -> "Index":
+    def build(cls, items: list[tuple[int, str]]) -> "Index":
         vocabulary: dict[bytes, int] = {}
         coded = []
         for item, text in items:
             words = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in plain_words(text)]
             if words:
                 coded.append((item, np.array(words, np.int64)))
-        hashes = [gram_hashes(codes, min(size, len(codes))) for _, codes in coded]
-        return cls(coded, vocabulary, np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64), size)
-
-    def sizes(self) -> list[int]:
-        return sorted({min(self.size, len(codes)) for _, codes in self.items})
+        whole: dict[int, dict[int, list[int]]] = {}
+        hashes = {}
+        for k, (_, codes) in enumerate(coded):
+            if len(codes) < GRAM:
+                whole.setdefault(len(codes), {}).setdefault(int(gram_hashes(codes, len(codes))[0]), []).append(k)
+            else:
+                hashes[k] = [pair_hashes(codes, gap) for gap in (1, 2)]
+        grams = np.unique(np.concatenate([x for both in hashes.values() for x in both])) if hashes else np.zeros(0, np.uint64)
+        near = {k: [np.searchsorted(grams, x) for x in both] for k, both in hashes.items()}
+        pairs = {k: np.unique(np.concatenate(both)) for k, both in near.items()}
+        shared = np.zeros(len(grams), np.int64)
+        for own in pairs.values():
+            shared[own] += 1
+        gram, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (one, two) in near.items():
+            most = shared[one]
+            most[:-1] = np.maximum(most[:-1], shared[two])
+            places = np.argsort(most, kind="stable")[: len(one) - max(0, good_pairs(len(one) + 1) - 1)]
+            gram.append(np.unique(np.concatenate([one[places], two[places[places < len(two)]]])))
+            item.append(np.full(len(gram[-1]), k))
+        found, owner = np.concatenate(gram), np.concatenate(item)
+        order = np.argsort(found, kind="stable")
+        return cls(coded, vocabulary, whole, grams, pairs, np.searchsorted(found[order], np.arange(len(grams) + 1)), owner[order])
 
     def codes(self, text: str) -> np.ndarray:
         words = plain_words(text)
@@ -95,6 +126,13 @@ def gram_hashes(codes: np.ndarray, size: int) -> np.ndarray:
         return np.where(fine, found | np.uint64(1), np.uint64(0))
 
 
+def pair_hashes(codes: np.ndarray, gap: int) -> np.ndarray:
+    """Hashes of each word with the one ``gap`` places on; 0 for those with a word of no item."""
+    a, b = codes[:-gap].astype(np.uint64), codes[gap:].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return np.where((a != 0) & (b != 0), mix((a << np.uint64(32)) + b) | np.uint64(1), np.uint64(0))
+
+
 class Lookup:
     """Positions of given hashes among many: a small bitmap first, then a binary search."""
 
@@ -142,25 +180,44 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 class Matcher:
-    def __init__(self, index: Index, rare: np.ndarray):
-        """``rare``: whether each n-gram of the index is a seed, by item: rows (gram, item, place)."""
+    def __init__(self, index: Index):
         self.index, self.lookup = index, Lookup(index.grams)
-        self.order = rare[np.argsort(rare[:, 0], kind="stable")] if len(rare) else rare.reshape(0, 3)
+        self.own = np.zeros(len(index.grams), bool)
+
+    def stretches(self, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item, by its place in the block, the stretches that can hold it, in order."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for size, items in self.index.whole.items():
+            hashes = gram_hashes(codes, size)
+            for at in np.flatnonzero(hashes).tolist():
+                for k in items.get(int(hashes[at]), ()):
+                    found.setdefault(k, []).append((at, at + size))
+        (at, gram), (at2, gram2) = (self.lookup.find(pair_hashes(codes, gap)) for gap in (1, 2))
+        at, gram = np.concatenate([at, at2]), np.concatenate([gram, gram2])
+        starts, seeded = self.index.starts, self.index.seeded
+        seeds = np.unique(gram)
+        seeds = seeds[starts[seeds] < starts[seeds + 1]]
+        for k in sorted({k for a, b in zip(starts[seeds].tolist(), starts[seeds + 1].tolist(), strict=True) for k in seeded[a:b].tolist()}):
+            length = len(self.index.items[k][1])
+            least = good_pairs(length)
+            self.own[self.index.pairs[k]] = True
+            places = at[self.own[gram]]
+            self.own[self.index.pairs[k]] = False
+            if len(places) < least:
+                continue
+            places = np.unique(places)
+            first, last = places[: len(places) - least + 1], places[least - 1 :]
+            close = np.flatnonzero(last - first < 2 * length) if len(places) >= least else ()
+            if len(close):
+                ends = np.minimum(first[close] + 2 * length, len(codes)).tolist()
+                found[k] = list(zip(np.maximum(last[close] - 2 * length + 1, 0).tolist(), ends, strict=True))
+        return found
 
     def pairs(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item_id, score, first, last word) of each item that the text holds."""
         codes = self.index.codes(text)
-        stretches: dict[int, list[tuple[int, int]]] = {}
-        for size in self.index.sizes():
-            at, gram = self.lookup.find(gram_hashes(codes, size))
-            low, high = np.searchsorted(self.order[:, 0], gram), np.searchsorted(self.order[:, 0], gram, "right")
-            for position, a, b in zip(at.tolist(), low.tolist(), high.tolist(), strict=True):
-                for _, item, place in self.order[a:b].tolist():
-                    length = len(self.index.items[item][1])
-                    slack = length // 4 + 2
-                    stretches.setdefault(item, []).append((max(0, position - place - slack), min(len(codes), position - place + length + slack)))
         found = []
-        for item, ranges in sorted(stretches.items()):
+        for item, ranges in sorted(self.stretches(codes).items()):
             name, words = self.index.items[item]
             merged: list[list[int]] = []
             for a, b in sorted(ranges):
@@ -174,39 +231,9 @@ class Matcher:
         return found
 
 
-def _counts(index):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(index.value.grams)
-        total = np.zeros(len(index.value.grams), np.int64)
-        sizes = index.value.sizes()
-        for batch in slices(batches, "text"):
-            for text in strings(batch, "text"):
-                codes = index.value.codes(text)
-                for size in sizes:
-                    _, gram = lookup.find(gram_hashes(codes, size))
-                    total[np.unique(gram)] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "n"])
-
-    return run
-
-
-def rare_seeds(index: Index, frequency: np.ndarray) -> np.ndarray:
-    """Rows (gram, item, place in the item) of the seeds."""
-    rows = []
-    for k, (_, codes) in enumerate(index.items):
-        grams = np.searchsorted(index.grams, gram_hashes(codes, min(index.size, len(codes))))
-        occurring = frequency[np.unique(grams)]
-        occurring = occurring[occurring > 0]
-        limit = 2 * np.median(occurring) + 10 if len(occurring) else 0
-        places = np.flatnonzero(frequency[grams] <= limit)
-        rows.append(np.column_stack([grams[places], np.full(len(places), k), places]))
-    return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
-
-
 def _match(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value)
+        matcher = Matcher(shared.value)
         for batch in slices(batches, "text"):
             found = [(doc, *pair) for doc, text in zip(batch.column("doc_id").to_pylist(), strings(batch, "text"), strict=True) for pair in matcher.pairs(text)]
             if found:
@@ -228,40 +255,33 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
             yield [(r.item_id, r.text) for r in rows]
 
 
-def _prepared(rows: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator:
-    """The broadcast index and seeds of each block."""
-    context = rows.sparkSession.sparkContext
+def _prepared(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """The broadcast index of each block."""
     for items in _blocks(benchmark, block_bytes):
         index = Index.build(items)
-        if not index.items:
-            continue
-        counted = rows.mapInArrow(_counts(context.broadcast(index)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        frequency = np.zeros(len(index.grams), np.int64)
-        for r in counted.toLocalIterator():  # a number for each n-gram of the block at most
-            frequency[r.gram] = r.n
-        yield context.broadcast((index, rare_seeds(index, frequency)))
+        if index.items:
+            yield benchmark.sparkSession.sparkContext.broadcast(index)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, score, first and last word of the passage for each pair."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     result = docs.sparkSession.createDataFrame([], _PAIRS)
-    for shared in _prepared(rows, benchmark, block_bytes):
+    for shared in _prepared(benchmark, block_bytes):
         result = result.unionByName(rows.mapInArrow(_match(shared), _PAIRS))
     return result
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item of the benchmark, filtered where they lie."""
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    for shared in _prepared(rows, benchmark, block_bytes):
+    for shared in _prepared(benchmark, block_bytes):
         docs = docs.mapInArrow(_filter(shared), docs.schema)
     return docs
 
 
 def _filter(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value)
+        matcher = Matcher(shared.value)
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array([not matcher.pairs(x) for x in strings(batch, "text")], pa.bool_()))
 

@@ -284,6 +284,21 @@ def test_decontamination(spark, none):
     assert decontaminate.contaminated(none, benchmark).count() == 0 and decontaminate.contaminated(df, benchmark.filter("false")).count() == 0
 
 
+def edited_copies(spark, every, count):
+    """One verbatim copy of an item among equal copies with every so-many-th word replaced."""
+    words = prose(101, 30).split(" ")
+    words[every - 1 :: every] = ["changed"] * len(words[every - 1 :: every])
+    docs = [(0, prose(1, 40) + " " + prose(101, 30))] + [(k, prose(2, 40) + " " + " ".join(words)) for k in range(1, count)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, prose(101, 30))], "item_id long, text string")
+
+
+def test_decontamination_of_many_equal_edited_copies(spark):
+    df, benchmark = edited_copies(spark, 9, 300)
+    found = {r.doc_id: r.score for r in decontaminate.contaminated(df, benchmark).collect()}
+    assert set(found) == set(range(300)) and found[0] == 1 and found[1] == 0.85
+    assert decontaminate.without_contaminated(df, benchmark).count() == 0
+
+
 # secrets
 
 

@@ -299,6 +299,30 @@ def test_decontamination_of_many_equal_edited_copies(spark):
     assert decontaminate.without_contaminated(df, benchmark).count() == 0
 
 
+@pytest.mark.parametrize(("every", "score"), [(5, 0.7), (3, 0.5)])
+def test_decontamination_without_common_runs(spark, every, score):
+    df, benchmark = edited_copies(spark, every, 3)
+    found = {r.doc_id: r.score for r in decontaminate.contaminated(df, benchmark).collect()}
+    assert set(found) == {0, 1, 2} and found[1] == found[2] >= score
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_decontamination_finds_what_whole_alignment_finds(seed):
+    rng = random.Random(seed)
+    items = [(k, prose(seed * 50 + k, rng.randint(decontaminate.GRAM, 24))) for k in range(8)] + [(8, "a b a b a a b"), (9, "w1 w2 w3 w4 w5")]
+    matcher = decontaminate.Matcher(decontaminate.Index.build(items))
+    hits = 0
+    for _ in range(60):
+        text = rng.choices(["a", "b", *WORDS[:20]], k=rng.randint(0, 25))
+        for word in rng.choice(items)[1].split(" "):  # replaced, added to or left out
+            text += rng.choice([[word]] * rng.randint(2, 8) + [["x"], [word, "x"], []])
+        codes = matcher.index.codes(" ".join(text))
+        want = {k: s for k, (_, words) in enumerate(matcher.index.items) if (s := plain_align(words, codes) / len(words)) >= decontaminate.THRESHOLD}
+        assert {k: s for k, s, _, _ in matcher.pairs(" ".join(text))} == want
+        hits += len(want)
+    assert hits > 30
+
+
 # secrets
 
 

@@ -183,6 +183,11 @@ def _fitting(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, space: Workspace, size: int = 5) -> DataFrame:
     """doc_id, h (a hash of the text), n_shingles and component_id of each row."""
+    return _grouped(docs, space, size).drop("comp")
+
+
+def _grouped(docs: DataFrame, space: Workspace, size: int) -> DataFrame:
+    """``near_duplicates`` with ``comp``, which tells components apart whose ids are all null; null for empty sets."""
     rows = _identified(docs)
     sketch = rows.select("doc_id", "h", "text").mapInArrow(_sketch(size), "doc_id long, h long, n long, s binary, bands array<long>, bits array<long>")
     sketch = space.table(sketch, "sketch")
@@ -215,9 +220,9 @@ def near_duplicates(docs: DataFrame, space: Workspace, size: int = 5) -> DataFra
 
     of_class = classes.select("s", "id", "least").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named_class = of_class.join(least, "comp").select("s", "component_id")
+    named_class = of_class.join(least, "comp").select("s", "component_id", "comp")
     joined = sketch.select("doc_id", "h", F.col("n").alias("n_shingles"), "s").join(named_class, "s", "left")
-    return joined.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return joined.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
 
 
 def _texts(rows: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
@@ -228,10 +233,13 @@ def _texts(rows: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, space: Workspace, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one row of the least doc_id."""
-    found = near_duplicates(docs, space, size)
-    # of repeated rows of one document one stays, and of several texts under its id the least hash
-    one = found.groupBy("doc_id").agg(F.min(F.struct(F.expr("NOT (doc_id <=> component_id)").alias("gone"), "h")).alias("x"))
+    """The rows of ``docs`` that stay: of each component one row of the least doc_id, or if all its
+    ids are null one row of the least hash."""
+    found = _grouped(docs, space, size)
+    # of several texts under one doc_id the least hash
+    null = F.col("doc_id").isNull()
+    by = ["doc_id", F.when(null, F.col("comp")).alias("of"), F.when(null & F.col("comp").isNull(), F.col("h")).alias("alone")]
+    one = found.groupBy(*by).agg(F.min(F.struct(F.expr("NOT (doc_id <=> component_id)").alias("gone"), "h")).alias("x"))
     kept = space.table(one.filter("NOT x.gone").select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("_key"), F.col("x.h").alias("_h")), "kept")
     marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return marked.join(kept.hint("shuffle_hash"), ["_key", "_h"], "left_semi").drop("_key", "_h")

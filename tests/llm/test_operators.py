@@ -423,6 +423,18 @@ def test_minhash_on_odd_rows(spark, odd):
     assert len(kept) == len(set(kept)) and 8 not in kept and {0, 1, 2, 3, 4, 6} <= set(kept)
 
 
+def test_kept_rows_without_ids(spark):
+    texts = [prose(k, 60) for k in range(700, 706)]
+    near = prose(700, 60).split(" ")
+    near[-1] = "changed"
+    rows = [(None, t) for t in texts] + [(None, " ".join(near)), (None, texts[1]), (9, texts[2]), (8, texts[2]), (None, ""), (None, " "), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = pairs(minhash.kept_documents(df, Workspace(spark, "t")))
+    assert (texts[0] in {t for _, t in kept}) != (" ".join(near) in {t for _, t in kept})
+    others = {(None, t) for t in (texts[1], *texts[3:], "", " ")} | {(8, texts[2]), (7, "")}
+    assert {x for x in kept if x[1] not in (texts[0], " ".join(near))} == others and (None, texts[2]) not in kept
+
+
 def test_lattice_points():
     rng = np.random.default_rng(0)
     around = lattice.neighbours()

@@ -234,12 +234,18 @@ def _texts(rows: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
 
 def kept_documents(docs: DataFrame, space: Workspace, size: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each component one row of the least doc_id, or if all its
-    ids are null one row of the least hash."""
+    ids are null one row of the least hash. Of rows with one doc_id and text any one stays."""
     found = _grouped(docs, space, size)
     # of several texts under one doc_id the least hash
     null = F.col("doc_id").isNull()
     by = ["doc_id", F.when(null, F.col("comp")).alias("of"), F.when(null & F.col("comp").isNull(), F.col("h")).alias("alone")]
-    one = found.groupBy(*by).agg(F.min(F.struct(F.expr("NOT (doc_id <=> component_id)").alias("gone"), "h")).alias("x"))
-    kept = space.table(one.filter("NOT x.gone").select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("_key"), F.col("x.h").alias("_h")), "kept")
+    by_text = found.groupBy("doc_id", "h", "component_id", "comp").agg(F.count(F.lit(1)).alias("n"))
+    one = by_text.groupBy(*by).agg(F.min(F.struct(F.expr("NOT (doc_id <=> component_id)").alias("gone"), "h", "n")).alias("x"))
+    kept = one.filter("NOT x.gone").select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("_key"), F.col("x.h").alias("_h"), F.col("x.n").alias("_n"))
+    kept = space.table(kept, "kept")
     marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return marked.join(kept.hint("shuffle_hash"), ["_key", "_h"], "left_semi").drop("_key", "_h")
+    stay = marked.join(kept.filter("_n = 1").hint("shuffle_hash"), ["_key", "_h"], "left_semi")
+    repeated = kept.filter("_n > 1")
+    if not repeated.isEmpty():
+        stay = stay.unionByName(marked.join(repeated, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]))
+    return stay.drop("_key", "_h")

@@ -435,6 +435,13 @@ def test_kept_rows_without_ids(spark):
     assert {x for x in kept if x[1] not in (texts[0], " ".join(near))} == others and (None, texts[2]) not in kept
 
 
+def test_repeated_rows_are_kept_once(spark):
+    rows = [(1, prose(710, 60))] * 5 + [(2, prose(711, 60)), (None, prose(712, 60)), (None, prose(712, 60)), (3, ""), (3, None), (4, prose(710, 60))]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = minhash.kept_documents(df, Workspace(spark, "t"))
+    assert Counter((r.doc_id, r.text or "") for r in kept.collect()) == Counter([*rows[4:7], (3, "")]) and kept.columns == df.columns
+
+
 def test_lattice_points():
     rng = np.random.default_rng(0)
     around = lattice.neighbours()

@@ -6,9 +6,10 @@ blobs without such a row, once each however many paths hold them, and joins find
 all paths. Only addresses are grouped; the texts of unseen blobs are shuffled once, by the
 (distinct) document chosen for each blob, so a blob that a third of all paths hold stays spread.
 
-Rules of version 1, in the order of their kinds; matches are leftmost and non-overlapping per
+Rules of version 2, in the order of their kinds; matches are leftmost and non-overlapping per
 kind, and spans are in code points, end exclusive. Base kinds: ``assign``, ``access`` and
-``hex``; the others add spans and never change the base ones.
+``hex``; the others add spans and never change the base ones. A ``pem`` span runs through the END
+line of the same label if no other key begins before it, else to the end of the base64 text.
 
 Defined results: a null text is the empty text, in which nothing is found; rows with a null
 doc_id, and repeated rows, are paths of their own; other columns are ignored; an empty table
@@ -26,14 +27,19 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import Workspace, slices, squeezed, unsqueezer
 
-RULE_VERSION = 1
+RULE_VERSION = 2
+
+#: What follows a key's first line: anything up to its END line; or header lines, long runs of base64 and a short last line.
+_PEM_BODY = r"""(?:(?:(?!-----BEGIN\x20)[\s\S])*?-----END\x20\1-----
+    |(?:(?:\s|\\[rn])*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{20,}+={0,2})++
+     (?:[\x20\t]*(?:\r?\n|\\n)[\x20\t]*[A-Za-z0-9+/]{1,19}+={0,2}(?=[\x20\t]*(?:[\r\n\\]|\Z)))?)?"""
 
 # Kind, pattern, least code points of the match (of its last group, if it has groups).
 RULES = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6),
     ("access", r"AKIA[A-Z0-9]+", 20),
     ("hex", r"[0-9a-f]+", 24),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
+    ("pem", r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----" + re.sub(r"\n\s*", "", _PEM_BODY), 1),
     ("forge", r"gh[pousr]_[A-Za-z0-9]+", 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),

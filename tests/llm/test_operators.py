@@ -354,6 +354,20 @@ def test_secrets(spark, none):
     assert secret_scan.update_ledger(none, None, Workspace(spark, "t"))[1].count() == 0
 
 
+@pytest.mark.parametrize("label", ["RSA PRIVATE KEY", "PRIVATE KEY"])
+def test_private_keys_are_redacted_whole(spark, label):
+    rng = random.Random(1)
+    lines = ["".join(rng.choices("ABCDEFghijkl0123456789+/", k=64)) for _ in range(5)] + ["aB3dEf+/Q=="]
+    begin, end = f"-----BEGIN {label}-----", f"-----END {label}-----"
+    key, head = "\n".join([begin, *lines]), "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"
+    cases = [(f"a {key}\n{end} b", "a [REDACTED] b"), (f"a {key}\nb c", "a [REDACTED]\nb c"), (f"{begin}\n{head}" + "\n".join(lines) + "\nso it was", "[REDACTED]\nso it was"), (f"x\r\n{key}".replace("\n", "\r\n"), "x\r\r\n[REDACTED]"),
+             (f'"{key}\n"'.replace("\n", "\\n"), '"[REDACTED]\\n"'), (f"{key}\nprose here\n{key}\n{end}!", "[REDACTED]\nprose here\n[REDACTED]!"), (f"{key[:200]}", "[REDACTED]"), (f"a line {begin} in prose: no key.", "a line [REDACTED] in prose: no key.")]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secret_scan.redacted(df, Workspace(spark, "t")).collect()}
+    assert got == {k: clean for k, (_, clean) in enumerate(cases)}
+    assert len(secret_scan.find_spans(f"{begin} " * 20000)) == 20000
+
+
 # near duplicates
 
 

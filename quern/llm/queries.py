@@ -28,7 +28,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), with_ids=False)
+    return packing.pack_documents(_read(spark, sf_dir, "documents")).drop("ids")
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

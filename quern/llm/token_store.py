@@ -13,11 +13,16 @@ dictionary, which is named by its hash:
   as unsigned 32-bit ones (``width``).
 
 So one document is read from its row's index and a slice of the blob, without its neighbours.
-The dictionary is trained on the serialized ids of a bounded sample (``SAMPLE_DOCS`` documents
-of at most ``SAMPLE_CHARS`` characters, the first in the input) and affects sizes only.
+The dictionary is trained on the serialized ids of a bounded sample (``SAMPLE_DOCS`` documents,
+those of the least hashes of doc_id, and of each ``SAMPLE_CHARS`` characters from a hashed place
+on) and affects sizes only.
+
+Texts are encoded where they lie. Only their ids are shuffled, to ranges of doc_id whose bounds
+come from the id column alone, and compressed there.
 
 Defined results: a null or empty text has only the end id; rows of one doc_id are ordered by
-text; other columns are ignored; an empty table gives no rows.
+text; other columns are ignored; an empty table gives no rows. A very long text is encoded in one
+piece with its neighbours in a slice; it takes a small multiple of its own bytes.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +44,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4000, 64 << 10
 #: Bytes of ids (uncompressed) and documents in one shard, at least one document.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 4096
 LEVEL = 1
+#: Least documents in a range of doc_id, on average.
+RANGE_DOCS = 1000
 #: Text bytes that are encoded together: each distinct chunk among them is looked up once.
 ENCODE_BYTES = 8 << 20
 
@@ -75,12 +83,30 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared), zstandard.ZstdDecompressor(dict_data=shared)
 
 
-def _write(path: str, end: int, width: int, dictionary: bytes):
+def _encode_rows(path: str, end: int, width: int, bounds: np.ndarray):
+    """Rows with their range of doc_id and serialized ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kind = encoder(path, spaces=True), np.dtype(f"<u{width}")
+        for batch in slices(batches, "text", ENCODE_BYTES):
+            ids, ends = encode.flat(batch.column("text"))
+            ids, ends = np.insert(ids.astype(kind), ends, end), ends + np.arange(1, len(ends) + 1)
+            docs = batch.column("doc_id")
+            # null is the first
+            known = pc.fill_null(docs, 0).to_numpy().astype(np.float64)
+            part = np.where(docs.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(bounds, known, "right"))
+            offsets = pa.py_buffer(np.concatenate(([0], width * ends)).astype("<i4"))
+            data = pa.BinaryArray.from_buffers(pa.binary(), len(docs), [None, offsets, pa.py_buffer(ids.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), docs, batch.column("tie"), data], ["part", "doc_id", "tie", "ids"])
+
+    return run
+
+
+def _write(width: int, dictionary: bytes):
     name = hashlib.sha256(dictionary).hexdigest()[:16]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, (press, _) = encoder(path, spaces=True), _codec(dictionary)
-        tail = np.array([end], "<u4").tobytes()
+        press, _ = _codec(dictionary)
         part, shard = TaskContext.get().partitionId(), 0
         index, blobs, size, raw = [], [], 0, 0
 
@@ -94,11 +120,10 @@ def _write(path: str, end: int, width: int, dictionary: bytes):
             names = [x.split()[0] for x in _SHARDS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
-        for batch in slices(batches, "text", ENCODE_BYTES):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode.encode(batch.column("text")), strict=True):
-                ids += tail
-                data = press.compress(serialize(ids, width))
-                index.append((doc or 0, int(doc is None), size, len(data), len(ids) // 4))
+        for batch in slices(batches, "ids"):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                data = press.compress(ids)
+                index.append((doc or 0, int(doc is None), size, len(data), len(ids) // width))
                 blobs.append(data)
                 size, raw = size + len(data), raw + len(ids)
                 if raw >= SHARD_BYTES or len(index) >= SHARD_DOCS:
@@ -109,17 +134,46 @@ def _write(path: str, end: int, width: int, dictionary: bytes):
     return run
 
 
+def _sample(docs: DataFrame) -> list[str]:
+    """Slices of the sampled documents: hashes of ids alone first, then the texts of the least ones."""
+    hashed = docs.withColumn("_hash", F.xxhash64("doc_id"))
+    least = [r[0] for r in hashed.select("_hash").orderBy("_hash").limit(SAMPLE_DOCS).collect()]
+    if not least:
+        return []
+    first = 1 + F.pmod(F.col("_hash"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
+    some = hashed.filter(F.col("_hash") <= least[-1]).select(F.col("text").substr(first.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
+    return [r.text for r in some.filter("text <> ''").limit(2 * SAMPLE_DOCS).collect()]
+
+
+def _ranges(docs: DataFrame) -> np.ndarray:
+    """Bounds of ranges of doc_id with about equally many rows, from a sketch of the id column."""
+    # twice the input's splits, which have a bounded size each
+    most = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * docs.rdd.getNumPartitions())
+    parts = max(1, min(most, docs.count() // RANGE_DOCS))
+    shares = [k / parts for k in range(1, parts)]
+    return np.array(sorted(set(docs.approxQuantile("doc_id", shares, 0.2 / parts))) if shares else [], np.float64)
+
+
+def _with_ties(docs: DataFrame) -> DataFrame:
+    """Adds ``tie``, the text of rows whose doc_id others have too, by which these are ordered."""
+    repeated = docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
+    if repeated.isEmpty():
+        return docs.withColumn("tie", F.lit(None).cast("string"))
+    marked = docs.join(repeated.withColumn("_more", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("_again")), "left")
+    return marked.select("doc_id", "text", F.when(F.col("_more"), F.coalesce("text", F.lit(""))).alias("tie"))
+
+
 def write_store(docs: DataFrame, space: Workspace, path: str | None = None, end: int = 2) -> tuple[DataFrame, bytes]:
     """Encode all documents and write their shards; the shard table and the dictionary."""
     path = path or tokenizer_path("byte_bpe_50k.json")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     encode = encoder(path, spaces=True)
     width = 2 if max(encode.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end) < 1 << 16 else 4
-    short = docs.filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    sample = short.select("text").limit(SAMPLE_DOCS).collect()  # reads only as many partitions as it needs
-    dictionary = train_dictionary([serialize(x, width) for x in encode.encode(pa.array([r.text for r in sample], pa.string()))])
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return space.table(ordered.mapInArrow(_write(path, end, width, dictionary), _SHARDS), "shards"), dictionary
+    dictionary = train_dictionary([serialize(x, width) for x in encode.encode(pa.array(_sample(docs), pa.string()))])
+    bounds = _ranges(docs)
+    rows = _with_ties(docs).mapInArrow(_encode_rows(path, end, width, bounds), "part int, doc_id long, tie string, ids binary")
+    ordered = rows.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "tie")
+    return space.table(ordered.select("doc_id", "ids").mapInArrow(_write(width, dictionary), _SHARDS), "shards"), dictionary
 
 
 def with_starts(shards: DataFrame) -> DataFrame:

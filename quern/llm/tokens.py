@@ -14,12 +14,14 @@ from quern.llm.common import remembered
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 _GAP = rf"{_WHITE}[ \n]|\n{_WHITE}|\x00"
 _CUT = re.compile(r"(?<=\S)(?= )")
-_EASY = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: A word of Latin-1 letters, perhaps with a run of marks behind it (no apostrophe: it may begin a contraction).
+_WORD = r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_EASY = rf"^(?P<word>{_WORD})(?P<marks>[.,;:!?*#$%&)\]\"]*)$"
 #: The public byte alphabet: bytes that aren't printable are moved behind Latin-1, in order.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
-del _BYTES[10]  # parts are put on lines
-_BYTES_SPACE = chr(_BYTES[32])
+_MOVED = [b for b in range(256) if b not in _SHOWN]
+_ALPHABET = np.array([b if b in _SHOWN else 256 + _MOVED.index(b) for b in range(256)], "<u2")
+_ALPHABET[10] = 10  # words are put on lines
 
 
 def tokenizer_path(name: str) -> str:
@@ -67,23 +69,31 @@ class Sequences:
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
-
-    A text is cut into chunks where its pre-tokenizer cuts anyway, and chunks seen before
-    are not encoded again. ``spaces``: the vocabulary keeps white space (byte-level
-    patterns, in which a word takes one space before it), so a chunk keeps the space
-    before it, and a lone line feed is a chunk. Without, spaces and line feeds only
-    separate (patterns that drop them). No token crosses from a character that isn't white
-    space to a space, or a line feed between two such characters, so cutting there changes
-    no id.
-
-    Most new chunks are a word of Latin-1 letters, perhaps with a punctuation mark behind it.
-    The pre-tokenizer makes one or two parts of these, so they go to the model as such.
+    """Ids of texts as unsigned 32-bit integers.
+
+    A text is cut into chunks where its pre-tokenizer cuts anyway, and each distinct chunk of a
+    batch is looked at once. ``spaces``: the vocabulary keeps white space (byte-level patterns,
+    in which a word takes one space before it), so a chunk keeps the space before it, and a
+    lone line feed is a chunk. Without, spaces and line feeds only separate (patterns that drop
+    them). No token crosses from a character that isn't white space to a space, or a line feed
+    between two such characters, so cutting there changes no id.
+
+    Most chunks are a word of Latin-1 letters, perhaps with marks behind it, which the
+    pre-tokenizer makes two parts of. Words, runs of marks and all other chunks are the units
+    that are encoded and remembered; words go to the model as they are.
+
+    What is remembered is bounded in bytes (``LIMIT``, in each of two generations: when the new
+    one is full, it becomes the old one, and what is met again moves to the next new one), so
+    that texts without spaces, whose chunks are long, take no more memory than others. Beside
+    it, a batch takes a small multiple of its own bytes; but a chunk that the pre-tokenizer
+    can't cut is encoded by the library at once, for which it takes some 60 bytes a character.
     """
 
-    #: Chunks in one of two generations: when the new one is full, it becomes the old one, and
-    #: what is met again moves to the next new one without being encoded again.
-    LIMIT = 250_000
+    LIMIT = 16 << 20
+    #: Longer units aren't remembered (bytes).
+    LONGEST = 64
+    #: Words that go to the model in one text.
+    LINES = 500
 
     def __init__(self, path: str, spaces: bool, plain_special: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -91,95 +101,120 @@ class ChunkEncoder:
         self.tokenizer = load(path, plain_special)
         self.model_only = Tokenizer(self.tokenizer.model)  # shared, not copied
         self.model_only.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        (self.mark,) = self.model_only.encode(".", add_special_tokens=False).ids
         self.spaces = spaces
-        self.known: dict[str, int] = {}
-        self.store = Sequences()
+        self.forget()
+
+    def forget(self) -> None:
+        # the k-th unit has the k-th sequence; units that aren't remembered are null
+        self.known, self.store = pa.array([], pa.string()), Sequences()
         self.old, self.old_store = self.known, self.store
 
+    def remembered_bytes(self) -> int:
+        return self.known.nbytes + 4 * self.store.used + 16 * self.store.count
+
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text; null is the empty text."""
-        texts = pc.fill_null(texts, "")
+        """The ids of each text as little-endian bytes; null is the empty text."""
+        ids, ends = self.flat(texts)
+        raw, cuts = ids.astype("<u4", copy=False).tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each text ends."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        chunks = self._chunks(pc.fill_null(texts, ""))
+        coded = chunks.flatten().dictionary_encode()
+        ids, ends = self._encoded(coded.dictionary).take(coded.indices.to_numpy())
+        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+        return ids, np.concatenate(([0], ends))[offsets[1:]]
+
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
         if not self.spaces:
-            return self._encode(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "))
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         odd = pc.match_substring_regex(texts, _GAP)
         if not pc.any(odd).as_py():
-            return self._encode(self._cut(texts))
+            return self._cut(texts)
         rare = pa.array([_CUT.split(x) for x in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
-        found, rest = iter(self._encode(rare)), iter(self._encode(self._cut(texts.filter(pc.invert(odd)))))
-        return [next(found if x else rest) for x in odd.to_pylist()]
+        mixed = pa.concat_arrays([rare, self._cut(texts.filter(pc.invert(odd)))])
+        odd = odd.to_numpy(zero_copy_only=False)
+        order = np.where(odd, np.cumsum(odd) - 1, len(rare) + np.cumsum(~odd) - 1)
+        return mixed.take(pa.array(order))
 
     @staticmethod
-    def _cut(texts: pa.Array) -> pa.Array:
+    def _cut(texts: pa.Array) -> pa.ListArray:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         return pc.split_pattern(marked, "\0")
 
-    def _encode(self, chunks: pa.Array) -> list[bytes]:
-        """The ids of lists of chunks: each distinct chunk is looked up once, the rest is array work."""
-        if not len(chunks):
-            return []
-        if len(self.known) > self.LIMIT:
-            self.old, self.old_store, self.known, self.store = self.known, self.store, {}, Sequences()
-        coded = chunks.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        places = list(map(self.known.get, names))
-        if missing := [k for k, x in enumerate(places) if x is None]:
-            for k, place in zip(missing, self._learn([names[k] for k in missing]), strict=True):
-                places[k] = place
-        ids, ends = self.store.take(np.array(places, np.int64)[coded.indices.to_numpy()])
-        raw = ids.astype("<u4", copy=False).tobytes()
-        offsets = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
-        cuts = (4 * np.concatenate(([0], ends))[offsets]).tolist()
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _learn(self, new: list[str]) -> list[int]:
-        """Takes over or encodes new chunks; their numbers in the store."""
-        if again := [(x, place) for x, place in zip(new, map(self.old.get, new), strict=True) if place is not None]:
-            names, places = zip(*again, strict=True)
-            ids, ends = self.old_store.take(np.array(places, np.int64))
-            self.known.update(zip(names, self.store.add(ids, np.diff(ends, prepend=0)), strict=True))
-        easy, hard = [], []
-        for x in new if not again else [x for x in new if x not in self.known]:
-            m = _EASY.fullmatch(x)
-            if m is None:
-                hard.append(x)
-            else:
-                easy.append((x, *m.groups()))
-        if hard:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)]
-            self.known.update(zip(hard, self.store.add(np.concatenate(found), np.array([len(x) for x in found])), strict=True))
-        if easy:
-            chunks, words, marks = zip(*easy, strict=True)
-            parts = self._parts({*words, *marks})
-            index = {x: k for k, x in enumerate(parts[0])}
-            both = np.empty(2 * len(chunks), np.int64)
-            both[::2], both[1::2] = [index[x] for x in words], [index[x] for x in marks]
-            ids, ends = parts[1].take(both)
-            self.known.update(zip(chunks, self.store.add(ids, np.diff(ends[1::2], prepend=0)), strict=True))
-        return list(map(self.known.__getitem__, new))
-
-    def _parts(self, parts: set[str]) -> tuple[list[str], Sequences]:
-        """Encodes pre-tokens, joined by a mark to long texts for the model: its other steps
-        leave these characters alone but for the byte alphabet and lower case."""
-        parts = sorted(filter(None, parts), key=str.isascii)  # so that most long texts are of ASCII alone
-        mark = "."
-        (mark_id,) = self.model_only.encode(mark, add_special_tokens=False).ids
+    def _encoded(self, chunks: pa.Array) -> Sequences:
+        """The ids of distinct chunks, in their order."""
+        parts = pc.extract_regex(chunks, _EASY)
+        easy = parts.is_valid()
+        words = pc.if_else(easy, pc.struct_field(parts, "word"), chunks).dictionary_encode()
+        marks = pc.if_else(easy, pc.struct_field(parts, "marks"), "").dictionary_encode()
+        places = self._places(pa.concat_arrays([words.dictionary, marks.dictionary]))
+        both = np.empty(2 * len(chunks), np.int64)
+        both[::2] = places[words.indices.to_numpy()]
+        both[1::2] = places[len(words.dictionary) + marks.indices.to_numpy()]
+        ids, ends = self.store.take(both)
         found = Sequences()
-        for at in range(0, len(parts), 500):
-            some = parts[at : at + 500]
-            joined = f"\n{mark}\n".join(some)
-            joined = joined if self.spaces else joined.lower()
-            text = joined.replace(" ", _BYTES_SPACE) if joined.isascii() else joined.encode().decode("latin-1").translate(_BYTES)
-            ids = np.array(self.model_only.encode(text, add_special_tokens=False).ids, np.uint32)
-            at_mark = np.flatnonzero(ids == mark_id)
-            if len(at_mark) != len(some) - 1:  # the mark is among the parts
-                own = [np.array(self.model_only.encode(x, add_special_tokens=False).ids, np.uint32) for x in text.split(f"\n{mark}\n")]
-                found.add(np.concatenate(own), np.array([len(x) for x in own]))
-                continue
-            keep = np.ones(len(ids), bool)
-            keep[at_mark] = False
-            found.add(ids[keep], np.diff(np.concatenate((at_mark, [len(ids)])), prepend=-1) - 1)
-        found.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))
-        return [*parts, ""], found
+        found.add(ids, np.diff(ends[1::2], prepend=0))
+        return found
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """The numbers of the units in the store, where unknown ones are put."""
+        if self.remembered_bytes() > self.LIMIT:
+            self.old, self.old_store = self.known, self.store
+            self.known, self.store = pa.array([], pa.string()), Sequences()
+        places = pc.index_in(units, value_set=self.known)
+        found = pc.fill_null(places, -1).to_numpy().astype(np.int64)
+        for learn in (self._take_over, self._learn):
+            at = np.flatnonzero(found < 0)
+            if len(at):
+                found[at] = learn(units.take(pa.array(at)))
+        return found
+
+    def _keep(self, units: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        fits = pc.less_equal(pc.binary_length(units), self.LONGEST)
+        self.known = pa.concat_arrays([self.known, pc.if_else(fits, units, pa.scalar(None, pa.string()))])
+        return np.array(self.store.add(ids, sizes), np.int64)
+
+    def _take_over(self, units: pa.Array) -> np.ndarray:
+        """Numbers of units that the old generation knows, else -1."""
+        places = pc.index_in(units, value_set=self.old)
+        again = places.is_valid()
+        numbers = np.full(len(units), -1, np.int64)
+        if pc.any(again).as_py():
+            ids, ends = self.old_store.take(places.drop_null().to_numpy())
+            numbers[again.to_numpy(zero_copy_only=False)] = self._keep(units.filter(again), ids, np.diff(ends, prepend=0))
+        return numbers
+
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Encodes new units; their numbers."""
+        plain = pc.match_substring_regex(units, f"^{_WORD}$")
+        numbers, easy = np.empty(len(units), np.int64), plain.to_numpy(zero_copy_only=False)
+        if easy.any():
+            numbers[easy] = self._keep(units.filter(plain), *self._words(units.filter(plain)))
+        if not easy.all():
+            hard = units.filter(pc.invert(plain))
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(hard.to_pylist(), add_special_tokens=False)]
+            numbers[~easy] = self._keep(hard, np.concatenate(found), np.array([len(x) for x in found]))
+        return numbers
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words, put on lines of long texts with a mark after each: the
+        pre-tokenizer's other steps leave these characters alone but for the byte alphabet and
+        lower case."""
+        if not self.spaces:
+            words = pc.utf8_lower(words)
+        cuts = pa.array([*range(0, len(words), self.LINES), len(words)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(cuts, words), "\n.\n").to_pylist()
+        shown = [_ALPHABET[np.frombuffer(x.encode() + b"\n.", np.uint8)].tobytes().decode("utf-16-le") for x in texts]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.model_only.encode_batch_fast(shown, add_special_tokens=False)])
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(words):
+            raise ValueError("the model makes the mark's id from letters")
+        return ids[ids != self.mark], np.diff(at, prepend=-1) - 1
 
 
 def encoder(path: str, spaces: bool, plain_special: bool = False) -> ChunkEncoder:

@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest number of text bytes that a Python step holds as one slice.
 SLICE_BYTES = 4 << 20
@@ -93,6 +94,16 @@ class Workspace:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def finished_folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folders in a folder that Spark has marked as finished, in order of name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(folder)):
+        return []
+    found = sorted(f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(path(folder)) if s.isDirectory())
+    return [x for x in found if fs.exists(path(f"{x}/_SUCCESS"))]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches again, in pieces of about ``most`` bytes of ``column``."""
     for batch in batches:
@@ -109,6 +120,25 @@ def strings(batch: pa.RecordBatch, column: str) -> list[str]:
     return pc.fill_null(batch.column(column), "").to_pylist()
 
 
+def split_words(texts: pa.Array, apart: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of lower-cased texts, the texts as numbers of words, and where each ends.
+
+    ``apart`` maps the bytes of ASCII characters that separate words to spaces.
+    """
+    plain = pc.utf8_lower(pc.fill_null(texts, ""))
+    _, offsets, data = plain.buffers()
+    if data is not None:
+        plain = pa.StringArray.from_buffers(len(plain), offsets, pa.py_buffer(data.to_pybytes().translate(apart)), offset=plain.offset)
+    lists = pc.split_pattern(plain, " ")
+    coded = lists.flatten().dictionary_encode()
+    codes, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        words = codes != empty
+        codes, ends = codes[words], np.concatenate(([0], np.cumsum(words)))[ends]
+    return coded.dictionary, codes, ends
+
+
 def crc32(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 
@@ -118,9 +148,9 @@ def lower_ascii(data: bytes) -> bytes:
 
 
 class WordCodes(dict):
-    """64-bit codes of words, remembered up to a bounded number of words."""
+    """64-bit codes of words, remembered up to a bounded number of words of bounded length."""
 
-    LIMIT = 150_000
+    LIMIT, LONGEST = 150_000, 64
 
     def __init__(self, seed: int = 0):
         super().__init__()
@@ -129,7 +159,9 @@ class WordCodes(dict):
         self._hash, self._seed = xxhash.xxh3_64_intdigest, seed
 
     def __missing__(self, word: bytes) -> int:
-        code = self[word] = self._hash(word, self._seed)
+        code = self._hash(word, self._seed)
+        if len(word) <= self.LONGEST:
+            self[word] = code
         return code
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -149,6 +181,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def rows_of(docs: DataFrame) -> Column:
+    """A whole row as one column, so that no column of it can clash with an operator's own; ``select("<name>.*")`` gives it back."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def squeezed(docs: DataFrame, *keys: str) -> DataFrame:
     """The keys and each text as a zstandard frame ``z`` (null: the empty text).
 

@@ -1,11 +1,16 @@
 """Embedding near-dedup (operator 8) by E8 lattice hashing.
 
-Unit vectors are projected to ``TABLES`` random 8-dimensional spaces and decoded to the nearest
-point of the E8 lattice, whose Voronoi cells are the hash buckets. A vector is stored in its own
-cell and looks into the ``PROBES`` nearest of the 240 neighbouring cells. A pair meets in a table
-if one's own cell is the other's own or probed cell; with 12 tables and 8 probes a pair at cosine
-0.9 exactly is met with probability 0.988, closer pairs nearly always. Each met pair is verified
-by its cosine in double precision.
+Unit vectors are projected to random 8-dimensional spaces and decoded to the nearest point of the
+E8 lattice, whose Voronoi cells are the hash buckets. A table's key joins the cells of several such
+projections (*blocks*). A vector is stored in its own cell of each table and looks into the
+``PROBES`` nearest of the cells that differ from it by one of the 240 neighbours in one block. A pair
+meets in a table if one's own cell is the other's own or probed cell. Each met pair is verified by
+its cosine in double precision.
+
+How many blocks and tables there are, and how fine the cells, follows from the number of vectors
+(``SCHEMES``), so that a vector meets about a hundred unrelated ones whatever that number is. The
+keys of a vector grow as about the fourth root of it, candidates in proportion to it. All schemes
+meet a pair at cosine 0.9 exactly with probability 0.988, closer pairs nearly always.
 
 Identical vectors are one class with a count. Cells hold light keys first; only rows of cells
 in which something meets fetch their vectors. Rows of a crowded cell are dealt to blocks of
@@ -14,7 +19,8 @@ cell. A pair is counted only in the first table and cell in which it meets, so l
 counts and spanning edges, never as rows of pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link
-with nothing; vectors of different lengths aren't compared; a null vec_id takes part, and a
+with nothing; very large or small finite ones are scaled by a power of two first, which changes no
+cosine; vectors of different lengths aren't compared; a null vec_id takes part, and a
 component's id is the least vec_id in it; repeated rows are copies that link with each other;
 labels and other columns are ignored; an empty table gives no rows.
 """
@@ -24,6 +30,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,8 +41,21 @@ from pyspark.sql import functions as F
 from quern.llm.common import Workspace, mix
 from quern.llm.components import components
 
-TABLES, PROBES = 12, 8
+PROBES = 8
 COSINE = 0.9
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Keys of ``tables`` times ``blocks`` projections, scaled by ``scale`` before they are decoded."""
+
+    blocks: int
+    scale: float
+    tables: int
+
+
+#: Up to how many vectors each scheme is for; unrelated vectors meet with probability 7e-4, 2e-4, 6e-6 and 3e-8.
+SCHEMES = ((200_000, Scheme(2, 0.55, 12)), (1_000_000, Scheme(2, 0.65, 22)), (20_000_000, Scheme(3, 0.55, 50)), (1 << 62, Scheme(4, 0.55, 168)))
 BLOCK = 512
 SEED = 8
 
@@ -70,42 +90,61 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], whole, half)
 
 
-@lru_cache(maxsize=64)
-def _projection(table: int, size: int) -> np.ndarray:
-    return np.random.default_rng([SEED, table, size]).normal(size=(size, 8))
+@lru_cache(maxsize=1024)
+def _projection(table: int, size: int, blocks: int) -> np.ndarray:
+    return np.random.default_rng([SEED, table, size]).normal(size=(size, 8 * blocks))
 
 
 def _key(points: np.ndarray, table: int, size: int) -> np.ndarray:
+    """Hashes of points (their last axis)."""
     with np.errstate(over="ignore"):
         found = np.full(points.shape[:-1], table * 1_000_003 + size, np.uint64)
-        for k in range(8):
+        for k in range(points.shape[-1]):
             found = mix(found * np.uint64(31) + np.rint(2 * points[..., k]).astype(np.int64).view(np.uint64))
         return found.view(np.int64)
 
 
-def cells(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def scheme_for(vectors: int) -> Scheme:
+    return next(scheme for most, scheme in SCHEMES if vectors <= most)
+
+
+def cells(unit: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
     """Keys of own cells (vector, table) and probed cells (vector, table, probe)."""
     n, size = unit.shape
-    own, probed = np.empty((n, TABLES), np.int64), np.empty((n, TABLES, PROBES), np.int64)
+    own, probed = np.empty((n, scheme.tables), np.int64), np.empty((n, scheme.tables, PROBES), np.int64)
     around = neighbours()
-    for t in range(TABLES):
-        x = unit @ _projection(t, size)
+    rows = np.arange(n)[:, None]
+    for t in range(scheme.tables):
+        x = (unit @ _projection(t, size, scheme.blocks) * scheme.scale).reshape(n * scheme.blocks, 8)
         centre = nearest_e8(x)
-        own[:, t] = _key(centre, t, size)
         # all neighbours are equally long, so the nearest have the largest product
-        best = np.argpartition(-((x - centre) @ around.T), PROBES, axis=1)[:, :PROBES]
-        probed[:, t] = _key(centre[:, None, :] + around[best], t, size)
+        product = ((x - centre) @ around.T).reshape(n, -1)
+        names = _key(centre, t, size).reshape(n, scheme.blocks).view(np.uint64)
+        moved = np.argpartition(-product, PROBES, axis=1)[:, :PROBES]
+        block, step = moved // len(around), moved % len(around)
+        others = _key(centre.reshape(n, -1, 8)[rows, block] + around[step], t, size).view(np.uint64)
+        with np.errstate(over="ignore"):
+            # the key is the sum of its blocks' hashes, each mixed with the block's number
+            salt = mix(np.arange(1, scheme.blocks + 1, dtype=np.uint64))
+            whole = mix(names ^ salt).sum(axis=1, dtype=np.uint64)
+            own[:, t] = whole.view(np.int64)
+            probed[:, t] = (whole[:, None] - mix(names ^ salt)[rows, block] + mix(others ^ salt[block])).view(np.int64)
     return own, probed
 
 
+def _scaled(x) -> np.ndarray | None:
+    """The vector scaled so that its largest component is near 1; None if it can't be compared."""
+    v = np.array([np.nan if c is None else c for c in x.as_py()] if x.is_valid else [], np.float64)
+    if not len(v) or not np.isfinite(v).all() or not v.any():
+        return None
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])) + 0.0
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, raw = [], []
-        for x in batch.column("embedding"):
-            v = np.array([np.nan if c is None else c for c in x.as_py()] if x.is_valid else [], np.float64)
-            good = len(v) > 0 and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0
-            raw.append(v.tobytes() if good else None)
-            keys.append(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest() if good else None)
+        vectors = list(map(_scaled, batch.column("embedding")))
+        keys = [None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest() for v in vectors]
+        raw = [None if v is None else v.tobytes() for v in vectors]
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "s", "x"])
 
 
@@ -113,20 +152,23 @@ def _rows(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
     return [np.frombuffer(x, np.float64) for x in batch.column(column).to_pylist()]
 
 
-def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            batch = whole.slice(at, 500)
-            vectors, ids = _rows(batch, "x"), batch.column("id").to_numpy()
-            sizes = np.array([len(v) for v in vectors])
-            for size in np.unique(sizes):
-                some = np.flatnonzero(sizes == size)
-                v = np.array([vectors[k] for k in some])
-                own, probed = cells(v / np.linalg.norm(v, axis=1, keepdims=True))
-                keys = np.concatenate([own.ravel(), probed.ravel()])
-                names = np.concatenate([np.repeat(ids[some], TABLES), np.repeat(ids[some], TABLES * PROBES)])
-                mine = np.arange(len(keys)) < own.size
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names), pa.array(mine)], ["cell", "id", "own"])
+def _cell_rows(scheme: Scheme):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                vectors, ids = _rows(batch, "x"), batch.column("id").to_numpy()
+                sizes = np.array([len(v) for v in vectors])
+                for size in np.unique(sizes):
+                    some = np.flatnonzero(sizes == size)
+                    v = np.array([vectors[k] for k in some])
+                    own, probed = cells(v / np.linalg.norm(v, axis=1, keepdims=True), scheme)
+                    keys = np.concatenate([own.ravel(), probed.ravel()])
+                    names = np.concatenate([np.repeat(ids[some], x[0].size) for x in (own, probed)])
+                    mine = np.arange(len(keys)) < own.size
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names), pa.array(mine)], ["cell", "id", "own"])
+
+    return run
 
 
 def _first_meeting(i, j, own, probed, ids, cell) -> np.ndarray:
@@ -140,7 +182,7 @@ def _first_meeting(i, j, own, probed, ids, cell) -> np.ndarray:
     return np.where(in_a[k, table], own[a, table], own[b, table]) == cell
 
 
-def verify_cell(cell: int, ids, own_here, block, weight, vectors) -> list[tuple[int, int, int]]:
+def verify_cell(scheme: Scheme, cell: int, ids, own_here, block, weight, vectors) -> list[tuple[int, int, int]]:
     """(id, links, an id that it is connected with) from the pairs that first meet in this cell."""
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     stored = np.flatnonzero(own_here)
@@ -154,7 +196,7 @@ def verify_cell(cell: int, ids, own_here, block, weight, vectors) -> list[tuple[
         return []
     i = stored[x]
     used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    own, probed = cells(vectors[used] / norms[used][:, None])
+    own, probed = cells(vectors[used] / norms[used][:, None], scheme)
     links, parent = np.zeros(len(used), np.int64), list(range(len(used)))
 
     def root(k):
@@ -175,34 +217,37 @@ def verify_cell(cell: int, ids, own_here, block, weight, vectors) -> list[tuple[
     return [(int(ids[used[k]]), int(n), int(ids[used[root(k)]])) for k, n in enumerate(links) if n]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    done: list[tuple[int, int, int]] = []
-    key, held = None, []
-
-    def close():
-        if len(held) > 1 and any(h[1] for h in held):
-            ids, own, block, weight, x = zip(*held, strict=True)
-            vectors = np.array([np.frombuffer(v, np.float64) for v in x])
-            done.extend(verify_cell(key[0], np.array(ids), np.array(own), np.array(block), np.array(weight), vectors))
-
-    def out():
-        columns = [pa.array(c, pa.int64()) for c in zip(*done, strict=True)]
-        done.clear()
-        return pa.RecordBatch.from_arrays(columns, ["u", "links", "v"])
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "low", "high", "id", "own", "block", "weight", "x")), strict=True):
-                if row[:3] != key:
-                    close()
-                    key, held = row[:3], []
-                held.append(row[3:])
-            if len(done) > 10_000:
-                yield out()
-    close()
-    if done:
-        yield out()
+def _verify(scheme: Scheme):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[int, int, int]] = []
+        key, held = None, []
+
+        def close():
+            if len(held) > 1 and any(h[1] for h in held):
+                ids, own, block, weight, x = zip(*held, strict=True)
+                vectors = np.array([np.frombuffer(v, np.float64) for v in x])
+                done.extend(verify_cell(scheme, key[0], np.array(ids), np.array(own), np.array(block), np.array(weight), vectors))
+
+        def out():
+            columns = [pa.array(c, pa.int64()) for c in zip(*done, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, ["u", "links", "v"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "low", "high", "id", "own", "block", "weight", "x")), strict=True):
+                    if row[:3] != key:
+                        close()
+                        key, held = row[:3], []
+                    held.append(row[3:])
+                if len(done) > 10_000:
+                    yield out()
+        close()
+        if done:
+            yield out()
+
+    return run
 
 
 def near_duplicates(vectors: DataFrame, space: Workspace) -> DataFrame:
@@ -212,7 +257,8 @@ def near_duplicates(vectors: DataFrame, space: Workspace) -> DataFrame:
     classes = keyed.filter("s IS NOT NULL").groupBy("s").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("x").alias("x"))
     classes = space.table(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-    light = space.table(classes.select("id", "x").mapInArrow(_cell_rows, "cell long, id long, own boolean"), "cells")
+    scheme = scheme_for(classes.count())
+    light = space.table(classes.select("id", "x").mapInArrow(_cell_rows(scheme), "cell long, id long, own boolean"), "cells")
     counted = light.groupBy("cell").agg(F.count("id").alias("rows"), F.sum(F.col("own").cast("int")).alias("stored"))
     useful = counted.filter("stored > 0 AND rows > 1").select("cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
     met = light.join(useful, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -221,7 +267,7 @@ def near_duplicates(vectors: DataFrame, space: Workspace) -> DataFrame:
     full = full.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
     # vectors of one cell have one length, for the length is part of its key
     dealt = full.repartition("cell", "low", "high").sortWithinPartitions("cell", "low", "high")
-    found = space.table(dealt.mapInArrow(_verify, "u long, links long, v long"), "found")
+    found = space.table(dealt.mapInArrow(_verify(scheme), "u long, links long, v long"), "found")
 
     comps = components(found.select("u", "v"), space, "near").withColumnRenamed("node", "id")
     links = found.groupBy(F.col("u").alias("id")).agg(F.sum("links").alias("links"))

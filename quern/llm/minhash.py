@@ -26,7 +26,8 @@ parts of ``PART`` at most, so a hot leader is spread.
 Defined results: null or empty texts, and those without words, have the empty set and are
 linked with nothing; rows with a null doc_id take part, and a component's id is the least doc_id
 in it (null if all are); repeated rows are copies of each other; other columns are ignored; an
-empty table gives no rows.
+empty table gives no rows. Whole texts are compared; a very long one takes a small multiple of its
+own bytes.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordCodes, Workspace, lower_ascii, mix, raw_texts, remembered, slices, squeezed, unsqueezer
+from quern.llm.common import WordCodes, Workspace, lower_ascii, mix, raw_texts, remembered, rows_of, slices, squeezed, unsqueezer
 from quern.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -233,19 +234,19 @@ def _texts(rows: DataFrame, classes: DataFrame, space: Workspace) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, space: Workspace, size: int = 5) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component one row of the least doc_id, or if all its
-    ids are null one row of the least hash. Of rows with one doc_id and text any one stays."""
+    """The rows of ``docs`` that stay: of each component one row, of the least doc_id (null after all
+    others), then of the least hash of its text. Of rows without words, which are linked with
+    nothing, one row of each doc_id and text. Rows that share a doc_id but no component all stay."""
     found = _grouped(docs, space, size)
-    # of several texts under one doc_id the least hash
-    null = F.col("doc_id").isNull()
-    by = ["doc_id", F.when(null, F.col("comp")).alias("of"), F.when(null & F.col("comp").isNull(), F.col("h")).alias("alone")]
-    by_text = found.groupBy("doc_id", "h", "component_id", "comp").agg(F.count(F.lit(1)).alias("n"))
-    one = by_text.groupBy(*by).agg(F.min(F.struct(F.expr("NOT (doc_id <=> component_id)").alias("gone"), "h", "n")).alias("x"))
-    kept = one.filter("NOT x.gone").select(F.coalesce("doc_id", F.lit(_LEAST_ID)).alias("_key"), F.col("x.h").alias("_h"), F.col("x.n").alias("_n"))
-    kept = space.table(kept, "kept")
-    marked = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID))).withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    stay = marked.join(kept.filter("_n = 1").hint("shuffle_hash"), ["_key", "_h"], "left_semi")
-    repeated = kept.filter("_n > 1")
+    alone = F.col("comp").isNull()
+    by = ["comp", F.when(alone, F.col("doc_id")).alias("of"), F.when(alone, F.col("h")).alias("text")]
+    by_text = found.groupBy("doc_id", "h", "comp").agg(F.count(F.lit(1)).alias("n"))
+    least = by_text.groupBy(*by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h", "n")).alias("x"))
+    kept = space.table(least.select(F.coalesce("x.doc_id", F.lit(_LEAST_ID)).alias("key"), "x.h", "x.n"), "kept")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID))
+    marked = docs.select(rows_of(docs).alias("row"), key.alias("key"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    stay = marked.join(kept.filter("n = 1").hint("shuffle_hash"), ["key", "h"], "left_semi")
+    repeated = kept.filter("n > 1")
     if not repeated.isEmpty():
-        stay = stay.unionByName(marked.join(repeated, ["_key", "_h"], "left_semi").dropDuplicates(["_key", "_h"]))
-    return stay.drop("_key", "_h")
+        stay = stay.unionByName(marked.join(repeated, ["key", "h"], "left_semi").dropDuplicates(["key", "h"]))
+    return stay.select("row.*")

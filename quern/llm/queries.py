@@ -40,8 +40,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _, ledger = secret_scan.update_ledger(_read(spark, sf_dir, "documents"), None, Workspace(spark, "secrets"))
-    return secret_scan.digest(secret_scan.findings_by_path(paths, ledger))
+    space = Workspace(spark, "secrets")
+    ledger = secret_scan.Ledger(spark, f"{space.root}/ledger")
+    paths, _ = ledger.scan(_read(spark, sf_dir, "documents"), space)
+    return secret_scan.digest(secret_scan.findings_by_path(paths, ledger.read()))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,12 +117,15 @@ ORACLES = {
             sha256(coalesce(l.words, '')) AS kept_sha256
         FROM kept k LEFT JOIN left_ l ON k.doc_id = l.doc_id""",
     "op8_lattice": """
-        WITH RECURSIVE usable AS (
-            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm
+        WITH RECURSIVE finite AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS raw, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda c: abs(c))) AS largest
             FROM embeddings
             WHERE embedding IS NOT NULL AND len(embedding) > 0
                 AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0
                 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        -- a power of two changes no cosine, and keeps squares finite
+        scaled AS (SELECT vec_id, list_transform(raw, lambda c: c / pow(2.0, floor(log2(largest)))) AS v FROM finite),
+        usable AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS norm FROM scaled),
         links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
             WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= 0.9),

@@ -5,6 +5,8 @@ row for each blob and rule version already scanned, with what was found. A scan
 blobs without such a row, once each however many paths hold them, and joins findings back to
 all paths. Only addresses are grouped; the texts of unseen blobs are shuffled once, by the
 (distinct) document chosen for each blob, so a blob that a third of all paths hold stays spread.
+The ledger is durable: :class:`Ledger` is a folder to which each scan adds its findings as one
+atomic step, and which any later session opens again.
 
 Rules of version 2, in the order of their kinds; matches are leftmost and non-overlapping per
 kind, and spans are in code points, end exclusive. Base kinds: ``assign``, ``access`` and
@@ -12,20 +14,21 @@ kind, and spans are in code points, end exclusive. Base kinds: ``assign``, ``acc
 line of the same label if no other key begins before it, else to the end of the base64 text.
 
 Defined results: a null text is the empty text, in which nothing is found; rows with a null
-doc_id, and repeated rows, are paths of their own; other columns are ignored; an empty table
-gives no rows.
+doc_id, and repeated rows, are paths of their own; other columns are ignored, whatever their names; an
+empty table gives no rows. Texts are scanned whole; a very long one takes a small multiple of its own bytes.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import Workspace, slices, squeezed, unsqueezer
+from quern.llm.common import Workspace, finished_folders, rows_of, slices, squeezed, unsqueezer
 
 RULE_VERSION = 2
 
@@ -93,11 +96,44 @@ def addressed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
 
 
+class Ledger:
+    """What has been found in each blob under each rule version, in a folder of Parquet tables.
+
+    A scan adds one table, which counts once Spark has marked it as finished; a scan that fails
+    leaves nothing. Two scans at once may scan a blob twice, with equal findings.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self) -> DataFrame:
+        """blob, rule_version and spans, once for each pair."""
+        found = finished_folders(self.spark, self.folder)
+        rows = self.spark.read.schema(_FINDINGS).parquet(*found) if found else self.spark.createDataFrame([], _FINDINGS)
+        return rows if len(found) < 2 else rows.groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
+
+    def add(self, findings: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        findings.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(_FINDINGS).parquet(path)
+
+    def scan(self, docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame]:
+        """Scans the blobs that the ledger lacks and adds them; doc_id and blob of all paths, and this scan's findings."""
+        paths, scanned = _scanned(docs, self.read() if finished_folders(self.spark, self.folder) else None, space)
+        return paths, self.add(scanned)
+
+
 def update_ledger(docs: DataFrame, ledger: DataFrame | None, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scans blobs that the ledger (blob, rule_version, spans) lacks.
 
     Returns doc_id and blob of all paths, the findings of this scan, and the ledger with them.
     """
+    paths, scanned = _scanned(docs, ledger, space)
+    scanned = space.table(scanned, "findings")
+    return paths, scanned, scanned if ledger is None else ledger.unionByName(scanned)
+
+
+def _scanned(docs: DataFrame, ledger: DataFrame | None, space: Workspace) -> tuple[DataFrame, DataFrame]:
     rows = addressed(docs)
     key = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")
     paths = space.table(rows.select("doc_id", "blob"), "paths")
@@ -108,9 +144,7 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None, space: Workspace) -
     keyed = rows.withColumn("key", key).select("key", "blob", "text")
     texts = squeezed(keyed, "key", "blob").join(unseen.hint("shuffle_hash"), ["key", "blob"], "left_semi")
     # rows repeated under one doc_id are scanned each, and their equal findings kept once
-    scanned = texts.mapInArrow(_scan, _FINDINGS).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
-    scanned = space.table(scanned, "findings")
-    return paths, scanned, scanned if ledger is None else ledger.unionByName(scanned)
+    return paths, texts.mapInArrow(_scan, _FINDINGS).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
 
 
 def findings_by_path(paths: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -135,20 +169,19 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, space: Workspace) -> DataFrame:
     """The rows of ``docs`` with every secret in ``text`` replaced, and ``n_chars``, if there, set anew."""
     _, _, ledger = update_ledger(docs, None, space)
-    some = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(some, "_blob", "left").drop("_blob")
-
+    some = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    joined = docs.select(rows_of(docs).alias("row"), blob.alias("blob")).join(some, "blob", "left").select("row.text", "row", "spans")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
-            for k, spans in enumerate(batch.column("_spans").to_pylist()):
+            for k, spans in enumerate(batch.column("spans").to_pylist()):
                 if spans:
                     texts[k] = redact(texts[k], [(s["kind"], s["start"], s["end"]) for s in spans])
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            fields = batch.column("row").flatten()
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else x for c, x in zip(names, fields, strict=True)], names)
 
     found = joined.mapInArrow(run, docs.schema)
     return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found

@@ -55,8 +55,8 @@ GRAM = 3
 _BASE = 0x9E3779B97F4A7C15
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
-_CHUNKS = "a long, c1 long, c2 long, doc_id long, h short, w0 int, w1 int"
-_WINDOWS = "x1 long, x2 long, doc_id long, h short, w int"
+_CHUNKS = "a long, c1 long, c2 long, doc_id long, h long, w0 int, w1 int"
+_WINDOWS = "x1 long, x2 long, doc_id long, h long, w int"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -232,9 +232,14 @@ def _digests(width: int):
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    """``h`` tells rows of one doc_id apart."""
+    """doc_id, text and ``h``, which tells texts of one doc_id apart; 0 where a doc_id has one row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long"), text.alias("text")).withColumn("h", F.pmod(F.xxhash64("text"), F.lit(30000)).cast("short"))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    repeated = rows.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rows.withColumn("h", F.lit(0).cast("long"))
+    marked = rows.join(repeated.withColumn("more", F.lit(True)), "doc_id", "left")
+    return marked.select("doc_id", "text", F.when(F.col("more"), F.xxhash64("text")).otherwise(0).alias("h"))
 
 
 def repeated_ranges(docs: DataFrame, space: Workspace, width: int = WIDTH) -> DataFrame:
@@ -243,27 +248,32 @@ def repeated_ranges(docs: DataFrame, space: Workspace, width: int = WIDTH) -> Da
         raise ValueError("the width is too small for the margins of the names")
     rows = _identified(docs.filter(F.col("doc_id").isNotNull()))
     chunks = space.table(rows.mapInArrow(_chunk_rows(width), _CHUNKS), "chunks")
+    # groups are written before they are joined: beside an aggregation Spark wouldn't split a skewed join
     shared = (
         chunks.groupBy("a")
         .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("c1").alias("c_least"), F.max("c1").alias("c_most"))
         .filter("least < most")
     )
-    hits = space.table(chunks.join(shared, "a").withColumn("one", F.expr("c_least = c_most")).drop("c_least", "c_most", "most"), "hits")
-    space.drop("chunks")
+    shared = space.table(shared.select("a", "least", F.expr("c_least = c_most").alias("one")), "shared")
+    hits = space.table(chunks.join(shared, "a"), "hits")
+    space.drop("chunks", "shared")
     copied = hits.filter("one AND doc_id > least").select("doc_id", "h", "w0", "w1")
 
-    unclear = hits.filter("NOT one")
-    first = unclear.groupBy("a", "c1", "c2").agg(F.min("doc_id").alias("first"))
-    unclear = space.table(unclear.drop("least", "one").join(first, ["a", "c1", "c2"]).select("doc_id", "h", "w0", "w1", "first"), "unclear")
+    unclear = hits.filter("NOT one").drop("least", "one")
+    first = space.table(unclear.groupBy("a", "c1", "c2").agg(F.min("doc_id").alias("first")), "first")
+    unclear = space.table(unclear.join(first, ["a", "c1", "c2"]).select("doc_id", "h", "w0", "w1", "first"), "unclear")
+    space.drop("first")
     copied = copied.unionByName(unclear.filter("doc_id > first").drop("first"))
 
-    wanted = unclear.filter("doc_id = first").groupBy("doc_id", "h").agg(F.collect_list(F.struct("w0", "w1")).alias("ranges"))
+    wanted = unclear.filter("doc_id = first").groupBy("doc_id", "h").agg(F.collect_set(F.struct("w0", "w1")).alias("ranges"))
     texts = squeezed(rows, "doc_id", "h").join(wanted, ["doc_id", "h"])
     windows = space.table(texts.mapInArrow(_window_rows(width), _WINDOWS), "windows")
     earliest = windows.groupBy("x1", "x2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    single = windows.join(earliest, ["x1", "x2"]).filter("doc_id > least")
-    copied = copied.unionByName(single.select("doc_id", "h", F.col("w").alias("w0"), F.col("w").alias("w1")))
-    return copied.groupBy("doc_id", "h").agg(F.collect_list(F.struct("w0", "w1")).alias("ranges"))
+    earliest = space.table(earliest, "earliest")
+    single = space.table(windows.join(earliest, ["x1", "x2"]).filter("doc_id > least").select("doc_id", "h", F.col("w").alias("w0"), F.col("w").alias("w1")), "single")
+    space.drop("windows", "earliest")
+    # sets, not lists: repeated rows have the same windows
+    return copied.unionByName(single).groupBy("doc_id", "h").agg(F.collect_set(F.struct("w0", "w1")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, space: Workspace, width: int = WIDTH) -> DataFrame:

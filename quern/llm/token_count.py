@@ -10,30 +10,33 @@ score and its number of pieces, by the tokenizer's own rules:
   its UTF-8 bytes (byte fallback).
 
 No piece holds U+2581 after another character, so every segmentation has a cut there: texts are
-split at these cuts and the results of the (mostly repeated) parts remembered, in bounded
-memory. Scores in the file are integers, so their sums are exact in any order.
+split at these cuts and the results of the (mostly repeated) short parts remembered, up to a number
+of bytes. A part of any length is streamed: only as many characters are held as the longest piece
+has. Scores in the file are integers, so their sums are exact in any order.
 
 Defined results: a null or empty text has no pieces and score 0; repeated rows are counted
-each; other columns are ignored; an empty table gives no rows.
+each; other columns are ignored; an empty table gives no rows; a very long text, with or without
+spaces, is counted in memory of a small multiple of its own bytes.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import slices, strings
+from quern.llm.common import remembered, slices, strings
 from quern.llm.tokens import tokenizer_path
 
 SPACE = "▁"
 #: Fixed value of the public tokenizer.
 UNKNOWN_PENALTY = 10.0
 _PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-_COUNTERS: dict[str, "PieceCounter"] = {}
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
@@ -45,7 +48,10 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class PieceCounter:
-    LIMIT = 500_000
+    #: Bytes of remembered parts, and the longest remembered part.
+    LIMIT, LONGEST = 96 << 20, 64
+    #: Parts that are looked at together.
+    PARTS = 20_000
 
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
@@ -59,48 +65,57 @@ class PieceCounter:
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         #: Pieces and score of a part, as the real and the imaginary number.
         self.known: dict[str, complex] = {}
+        self.bytes = 0
 
     def part(self, text: str) -> complex:
         """Count and score of the best segmentation of a part."""
-        n = len(text)
-        score, count = [0.0] + [None] * n, [0] * (n + 1)
-        matches: list[list] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            matches[end].append(found)
+        ring = self.longest + 1  # place k holds what was best up to character k, modulo this
+        score, count = [0.0] * ring, [0] * ring
+        ends = groupby(self.automaton.iter(text), itemgetter(0))
+        at, found = next(ends, (-1, ()))
         for end, char in enumerate(text):
             best, pieces = None, 0
-            for size, value in sorted(matches[end], reverse=True):  # those that start first
-                value += score[end + 1 - size]
-                if best is None or value > best:
-                    best, pieces = value, count[end + 1 - size] + 1
+            if at == end:
+                for _, (size, value) in sorted(found, reverse=True):  # those that start first
+                    place = (end + 1 - size) % ring
+                    value += score[place]
+                    if best is None or value > best:
+                        best, pieces = value, count[place] + 1
+                at, found = next(ends, (-1, ()))
             if char not in self.single:
-                value = score[end] + self.unknown
+                value = score[end % ring] + self.unknown
                 if best is None or value > best:
-                    best, pieces = value, count[end] + len(char.encode())
-            score[end + 1], count[end + 1] = best, pieces
-        return complex(count[n], score[n])
+                    best, pieces = value, count[end % ring] + len(char.encode())
+            score[(end + 1) % ring], count[(end + 1) % ring] = best, pieces
+        return complex(count[len(text) % ring], score[len(text) % ring])
 
     def count(self, text: str) -> tuple[int, float]:
         if not text:
             return 0, 0.0
         text = text.replace(" ", SPACE)
-        parts = _PARTS.findall(text if text[0] == SPACE else SPACE + text)
-        known = self.known
-        for x in [x for x in set(parts) if x not in known]:
-            known[x] = self.part(x)
-        both = sum(map(known.__getitem__, parts), 0j)
-        if len(known) > self.LIMIT:
-            known.clear()
+        found = (m.group() for m in _PARTS.finditer(text if text[0] == SPACE else SPACE + text))
+        known, both = self.known, 0j
+        while parts := list(islice(found, self.PARTS)):
+            long = {}
+            for x in [x for x in set(parts) if x not in known]:
+                if len(x) <= self.LONGEST:
+                    known[x] = self.part(x)
+                    self.bytes += 200 + 4 * len(x)
+                else:
+                    long[x] = self.part(x)
+            both = sum((known[x] if x in known else long[x] for x in parts), both)
+            if self.bytes > self.LIMIT:
+                known.clear()
+                self.bytes = 0
         return int(both.real), both.imag
 
 
 def counter(path: str) -> PieceCounter:
     """One for each Python worker and vocabulary."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PieceCounter(read_pieces(path))
-    return _COUNTERS[path]
+    return remembered(("counter", path), lambda: PieceCounter(read_pieces(path)))
 
 
 def _count(path: str):

@@ -2,14 +2,18 @@
 
 1. *Token log-odds with Dirichlet priors.* From at most ``TRAIN_ROWS`` labelled documents (the
    documented bound; lowest hashes of doc_id), the number of toxic and other documents with
-   each word gives its log-odds under a Dirichlet prior of a tenth of the counts, and its
-   z-score. Words with z of ``MIN_Z`` or more keep their log-odds as score.
-2. *Segments.* All other words score ``-DRIFT``, and a linear-time scan finds all maximal
-   scoring segments (Ruzzo and Tompa) of a whole text.
+   each word gives its log-odds under a Dirichlet prior of a tenth of the counts. A word scores
+   the end of their confidence interval (``Z`` standard deviations) that is nearer to zero, so words
+   that toxic documents prefer score above zero, words that others prefer below it, and words
+   of which too little is known zero; all score ``DRIFT`` less.
+2. *Segments.* The best segment of a whole text comes from running sums; where it is significant,
+   a linear-time scan finds all maximal scoring segments (Ruzzo and Tompa).
 3. *Extreme-value calibration.* The score S of the best segment of n words by chance exceeds x
-   with probability 1 - exp(-K n exp(-lambda x)) (Karlin and Altschul); lambda solves
-   E[exp(lambda s)] = 1 over the words of other documents. ``lambda S - log(K n)`` of the best
-   segment and the sum of its positive values over all segments are a document's features.
+   with probability 1 - exp(-K n exp(-lambda x)) (Karlin and Altschul). lambda solves
+   E[exp(lambda s)] = 1 over the words of other training documents, and K is the maximum-likelihood
+   estimate from their best segments. ``lambda S - log(K n)`` of the best segment, and the sum of
+   these over all segments with an expected number of ``EXPECTED`` by chance or less, are a
+   document's features.
 4. A logistic fit on the features of the training documents turns them into a probability.
 
 Only the text is scored: lang, source, doc_id and labels are never inputs. The model is one
@@ -18,7 +22,8 @@ dictionary of words, bounded by the training bound, and every document is scored
 Defined results: a null or empty text is scored as one without toxic words; documents without
 a label (or with a null one) don't train; several labels of one document: the highest; without
 any usable label of both kinds all scores are the share of toxic training rows (0 if none);
-other columns are ignored; an empty table gives no rows.
+other columns are ignored; an empty table gives no rows. Very long texts are scored whole, in
+memory of a small multiple of their bytes.
 """
 
 from __future__ import annotations
@@ -30,65 +35,106 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import slices, strings
+from quern.llm.common import Workspace, slices, split_words
 
 TRAIN_ROWS = 60_000
-MIN_Z, MIN_DOCS, PRIOR = 3.0, 3, 0.1
-#: A stretch of 1/DRIFT ordinary words between two toxic ones costs 1.
+Z, MIN_DOCS, PRIOR = 2.0, 3, 0.1
+#: A stretch of 1/DRIFT words that both kinds use alike, between two toxic ones, costs 1.
 DRIFT = 0.05
-#: K of the extreme-value law; the logistic fit absorbs its exact value.
-K = 0.1
+#: Segments of which chance makes more in a text of the same length aren't significant.
+EXPECTED = 1.0
 THRESHOLD = 0.7
 RIDGE = 1e-3
 
 #: ASCII punctuation and control characters separate words.
-_APART = {c: " " for c in range(128) if not chr(c).isalnum()}
-
-
-def plain_words(text: str) -> list[str]:
-    return text.lower().translate(_APART).split()
+_APART = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 @dataclass
 class Model:
     words: dict[str, float] = field(default_factory=dict)
     rate: float = 1.0
+    k: float = 1.0
     weights: tuple[float, ...] = ()
     base: float = 0.0
 
-    def features(self, text: str) -> tuple[float, float]:
-        """Bits of the best segment, and of all segments that are better than by chance."""
-        words = plain_words(text)
-        n, get = len(words), self.words.get
-        hits = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
-        if not hits:
-            return 0.0, 0.0
-        floor = math.log(K * max(n, 1))
-        bits = [max(0.0, self.rate * s - floor) for s, _, _ in maximal_segments(hits, DRIFT)]
-        return max(bits), sum(bits)
-
-    def score(self, text: str) -> float:
+    def _table(self) -> tuple[pa.Array, np.ndarray]:
+        if not hasattr(self, "_found"):
+            odds = np.fromiter(self.words.values(), np.float64, len(self.words))
+            self._found = pa.array(list(self.words), pa.string()), np.append(odds, 0.0) - DRIFT
+        return self._found
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_found"}
+
+    def scored(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The scores of each text's words."""
+        names, scores = self._table()
+        words, codes, ends = split_words(texts, _APART)
+        places = pc.fill_null(pc.index_in(words, value_set=names), len(names)).to_numpy()
+        found, first = scores[places][codes], 0
+        for end in ends.tolist():
+            yield found[first:end]
+            first = end
+
+    def nats(self, score: float, length: int) -> float:
+        """How unlikely a segment is in other documents of so many words; above 0 if its expected number is below 1."""
+        return self.rate * score - math.log(self.k * max(length, 1))
+
+    def features(self, scores: np.ndarray) -> tuple[float, float]:
+        """Of the best segment, and of all significant ones."""
+        best = self.nats(best_segment(scores), len(scores))
+        if best < -math.log(EXPECTED):
+            return max(0.0, best), 0.0
+        found = [self.nats(s, len(scores)) for s, _, _ in segments_of(scores)]
+        return best, sum(x for x in found if x >= -math.log(EXPECTED))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
         if not self.weights:
-            return self.base
-        x = design(np.array([self.features(text)]))[0]
-        return float(1 / (1 + math.exp(-max(-700.0, min(700.0, x @ self.weights)))))
+            return np.full(len(texts), self.base)
+        x = design(np.array([self.features(s) for s in self.scored(texts)]).reshape(-1, 2))
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -700, 700)))
+
+
+def best_segment(scores: np.ndarray) -> float:
+    """The score of the best segment; 0 if no word scores above 0."""
+    if not len(scores):
+        return 0.0
+    after = np.cumsum(scores)
+    before = np.minimum(np.minimum.accumulate(after - scores), 0.0)
+    return max(0.0, float((after - before).max()))
+
+
+def segments_of(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last position) of a sequence of scores."""
+    after, at = np.cumsum(scores), np.flatnonzero(scores > 0)
+    return _joined(at.tolist(), (after[at] - scores[at]).tolist(), after[at].tolist())
 
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last position) of a sequence that scores
-    ``-drift`` everywhere but at the hits (position, positive score). Linear in the hits."""
+    """All maximal scoring segments of a sequence that scores ``-drift`` everywhere but at the
+    hits (position, positive score)."""
+    before, after, total, then = [], [], 0.0, -1
+    for position, score in hits:
+        before.append(total - drift * (position - then - 1))
+        total, then = before[-1] + score, position
+        after.append(total)
+    return _joined([position for position, _ in hits], before, after)
+
+
+def _joined(positions: list[int], before: list[float], after: list[float]) -> list[tuple[float, int, int]]:
+    """Joins single words that score above 0, given with the running sums on both sides of them,
+    to maximal segments. Linear in them."""
     # Candidates: first and last position, running sums before and after them, and the nearest
     # candidate on the left whose running sum before is smaller.
     found: list[tuple[int, int, float, float, int]] = []
-    total, then = 0.0, -1
-    for position, score in hits:
-        before = total - drift * (position - then - 1)
-        total, then = before + score, position
-        first, low = position, before
+    for position, low, total in zip(positions, before, after, strict=True):
+        first = position
         while True:
             k = len(found) - 1
             while k >= 0 and found[k][2] >= low:
@@ -140,22 +186,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, list[int]] = {}
+    """Other and toxic documents with each word, and its occurrences in other documents, by slice of the texts."""
+    for batch in slices(batches, "text"):
+        words, codes, ends = split_words(batch.column("text"), _APART)
+        toxic = batch.column("toxic").to_numpy().astype(bool)
+        doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        pairs = np.unique(doc * len(words) + codes)
+        of, word = np.divmod(pairs, max(1, len(words)))
+        count = lambda x: pa.array(np.bincount(x, minlength=len(words)).astype(np.int64))  # noqa: B023, E731
+        columns = [words, count(word[~toxic[of]]), count(word[toxic[of]]), count(codes[~toxic[doc]])]
+        yield pa.RecordBatch.from_arrays(columns, ["word", "other", "toxic", "said"])
 
-    def out():
-        names, pairs = list(counts), list(counts.values())
-        columns = [pa.array(names, pa.string()), *(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1))]
-        counts.clear()
-        return pa.RecordBatch.from_arrays(columns, ["word", "other", "toxic"])
 
-    for batch in slices(batches, "text"):
-        for text, toxic in zip(strings(batch, "text"), batch.column("toxic").to_pylist(), strict=True):
-            for word in set(plain_words(text)):
-                counts.setdefault(word, [0, 0])[toxic] += 1
-        if len(counts) > 200_000:
-            yield out()
-    if counts:
-        yield out()
+def word_odds(counts: DataFrame, mass: tuple[int, int]) -> DataFrame:
+    """Adds ``odds`` to each word's counts, in which ``mass`` are the sums of other and toxic ones."""
+    prior = PRIOR * (F.col("other") + F.col("toxic"))
+    odds = [F.log((F.col(c) + prior) / (F.lit(m + PRIOR * sum(mass)) - F.col(c) - prior)) for c, m in zip(("other", "toxic"), mass, strict=True)]
+    spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
+    raw = odds[1] - odds[0]
+    return counts.withColumn("odds", F.signum(raw) * F.greatest(F.lit(0.0), F.abs(raw) - Z * spread))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -165,39 +214,56 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     # at most `rows` pairs of numbers
     chosen = docs.sparkSession.createDataFrame(sample.toPandas(), "doc_id long, toxic int")
+    space = Workspace(docs.sparkSession, "toxicity")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    counts = texts.select("text", "toxic").mapInArrow(_word_counts, "word string, other long, toxic long")
-    counts = counts.groupBy("word").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
-    sums = counts.agg(F.sum("other"), F.sum("toxic")).first()
-    mass = [float(x or 0) for x in sums]
-    model = Model()
-    if min(mass):
-        prior, every = PRIOR * (F.col("other") + F.col("toxic")), sum(mass)
-        odds = [F.log((F.col(c) + prior) / (F.lit(m + PRIOR * every) - F.col(c) - prior)) for c, m in zip(("other", "toxic"), mass, strict=True)]
-        spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior))
-        scored = counts.withColumn("odds", odds[1] - odds[0]).withColumn("z", F.col("odds") / spread)
-        kept = scored.filter((F.col("other") + F.col("toxic") >= MIN_DOCS) & (F.col("z") >= MIN_Z)).select("word", "odds", "other").collect()
-        model.words = {r.word: r.odds for r in kept}
-        if kept:
-            shares = np.array([r.other for r in kept]) / mass[1]
-            values = np.array([*(r.odds for r in kept), -DRIFT])
-            model.rate = solve_rate(values, np.append(shares, max(0.0, 1 - shares.sum())))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    texts = space.table(texts.select("text", "toxic"), "texts")
+    try:
+        return _fitted(texts, space)
+    finally:
+        space.close()
+
+
+def _fitted(texts: DataFrame, space: Workspace) -> Model:
+    context = texts.sparkSession.sparkContext
+    kinds = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    total = (kinds.get(0, 0), kinds.get(1, 0))
+    model = Model(base=total[1] / max(1, sum(total)))
+    if not min(total):
+        return model
+    counts = texts.mapInArrow(_word_counts, "word string, other long, toxic long, said long")
+    counts = space.table(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("other", "toxic", "said"))), "counts")
+    other, toxic, said = (x or 0 for x in counts.agg(*(F.sum(c) for c in ("other", "toxic", "said"))).first())
+    if not (other and toxic):
+        return model
+    # words of at most `rows` documents
+    kept = word_odds(counts.filter(F.col("other") + F.col("toxic") >= MIN_DOCS), (other, toxic)).filter("odds <> 0").select("word", "odds", "said").orderBy("word").toPandas()
+    model.words = dict(zip(kept["word"], kept["odds"].tolist(), strict=True))
+    shares = kept["said"].to_numpy() / max(1, said)
+    model.rate = solve_rate(np.append(kept["odds"].to_numpy(), 0.0) - DRIFT, np.append(shares, max(0.0, 1 - shares.sum())))
+
+    shared = context.broadcast(model)
+
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            terms = [len(s) * math.exp(-shared.value.rate * best_segment(s)) for s in shared.value.scored(batch.column("text")) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.float64())], ["term"])
+
+    # K n exp(-lambda S) has mean 1 over other documents, which is also K's likelihood equation
+    model.k = texts.filter("toxic = 0").mapInArrow(chance, "term double").agg(F.count("term") / F.sum("term")).first()[0] or 1.0
+
+    ready = context.broadcast(model)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            best, all_ = zip(*map(shared.value.features, strings(batch, "text")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(all_), batch.column("toxic")], ["best", "all", "toxic"])
+            best, every = zip(*map(ready.value.features, ready.value.scored(batch.column("text"))), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(every), batch.column("toxic")], ["best", "all", "toxic"])
 
     # at most `rows` documents, unless training documents are repeated; equal rows are counted
     found = texts.mapInArrow(featured, "best double, all double, toxic int")
-    found = found.select(F.round("best", 1).alias("best"), F.round("all", 1).alias("all"), "toxic").groupBy("best", "all", "toxic").count().toPandas()
-    if len(found):
-        model.base = float(np.average(found["toxic"], weights=found["count"]))
-        if 0 < model.base < 1:
-            weight = found["count"].to_numpy()
-            x, y = design(found[["best", "all"]].to_numpy()), found["toxic"].to_numpy()
-            model.weights = tuple(fit_logistic(np.repeat(x, weight, axis=0), np.repeat(y, weight)))
+    found = found.select(F.round("best", 1).alias("best"), F.round("all", 1).alias("all"), "toxic").groupBy("best", "all", "toxic").count().orderBy("best", "all", "toxic").toPandas()
+    weight = found["count"].to_numpy()
+    x, y = design(found[["best", "all"]].to_numpy()), found["toxic"].to_numpy()
+    model.weights = tuple(fit_logistic(np.repeat(x, weight, axis=0), np.repeat(y, weight)).tolist())
     return model
 
 
@@ -214,12 +280,23 @@ def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            scores = pa.array([shared.value.score(x) for x in strings(batch, "text")], pa.float64())
+            scores = pa.array(shared.value.scores(batch.column("text")), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), scores], [*rest, name])
 
     docs = docs.select(*(F.col(f"`{c}`") for c in rest))
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, filtered where they lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array(shared.value.scores(batch.column("text").cast(pa.string())) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1

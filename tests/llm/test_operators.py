@@ -245,6 +245,16 @@ def test_substrings_on_small_alphabets(spark, alphabet):
     assert sorted(got) == sorted(brute_repeats(docs, 50))
 
 
+def test_substrings_of_many_texts_under_one_id(spark):
+    """Hundreds of texts of one doc_id, some of them repeated, beside other documents."""
+    texts = [prose(3000 + k, 60 + k % 7) for k in range(300)]
+    rows = [(7, t) for t in texts] + [(7, texts[0])] * 20 + [(8, texts[5] + " " + prose(1, 55)), (6, texts[9]), (6, texts[9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(df, Workspace(spark, "t")).collect())
+    assert got == Counter(brute_repeats([(i, t.split(" ")) for i, t in rows], 50))
+    assert any(n for _, _, n, _ in got)
+
+
 # decontamination
 
 
@@ -354,6 +364,24 @@ def test_secrets(spark, none):
     assert secret_scan.update_ledger(none, None, Workspace(spark, "t"))[1].count() == 0
 
 
+def test_the_ledger_is_durable(spark):
+    """A second session scans new blobs only, and blobs again once the rules have another version."""
+    rows = [(k, f"token=secret-{k % 4} text {k % 4}") for k in range(12)]
+    df, space = spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")
+    folder = f"{space.root}/ledger"
+    paths, found = secret_scan.Ledger(spark, folder).scan(df, Workspace(spark, "t"))
+    assert found.count() == 4 and secret_scan.digest(secret_scan.findings_by_path(paths, secret_scan.Ledger(spark, folder).read())).filter("n_assign = 1").count() == 12
+    more = df.unionByName(spark.createDataFrame([(99, "api_key: abcdefgh"), (98, "")], df.schema))
+    again = secret_scan.Ledger(spark, folder)
+    paths, found = again.scan(more, Workspace(spark, "t"))
+    assert found.count() == 2 and again.read().count() == 6
+    assert sorted(r.n_assign for r in secret_scan.digest(secret_scan.findings_by_path(paths, again.read())).collect()) == [0] + [1] * 13
+    _, none_left = again.scan(more, Workspace(spark, "t"))
+    assert none_left.count() == 0
+    older = again.read().withColumn("rule_version", F.lit(secret_scan.RULE_VERSION - 1))
+    assert secret_scan.update_ledger(more, older, Workspace(spark, "t"))[1].count() == 6
+
+
 @pytest.mark.parametrize("label", ["RSA PRIVATE KEY", "PRIVATE KEY"])
 def test_private_keys_are_redacted_whole(spark, label):
     rng = random.Random(1)
@@ -433,8 +461,10 @@ def test_minhash(spark, size, none):
 def test_minhash_on_odd_rows(spark, odd):
     rows = minhash.near_duplicates(odd, Workspace(spark, "t")).collect()
     assert len(rows) == odd.count()
-    kept = [r.doc_id for r in minhash.kept_documents(odd, Workspace(spark, "t")).collect()]
-    assert len(kept) == len(set(kept)) and 8 not in kept and {0, 1, 2, 3, 4, 6} <= set(kept)
+    kept = [(r.doc_id, r.text) for r in minhash.kept_documents(odd, Workspace(spark, "t")).collect()]
+    # two texts of one doc_id that are no near copies both stay
+    assert len(kept) == len(set(kept)) and sorted(t for i, t in kept if i == 3) == ["another text", "one"]
+    assert 8 not in {i for i, _ in kept} and {0, 1, 2, 3, 4, 6} <= {i for i, _ in kept}
 
 
 def test_kept_rows_without_ids(spark):
@@ -536,3 +566,49 @@ def test_toxicity(spark, none):
     empty = toxicity.train(docs, marks.filter("false"))
     assert {r.score for r in toxicity.score_documents(docs, empty).collect()} == {0.0}
     assert toxicity.score_documents(none, model).count() == 0
+
+
+def test_lattice_takes_all_finite_vectors(spark):
+    rows = [(0, [1e200, 0.0, 1e200]), (1, [2e200, 0.0, 2e200]), (2, [1e-200, 0.0, 1e-200]), (3, [5e-324, 0.0, 5e-324]), (4, [1.7e308, 1.0, -1.7e308]), (5, [1.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(df, Workspace(spark, "t")).collect()}
+    assert found == {**dict.fromkeys((0, 1, 2, 3, 5), (4, 0)), 4: (0, 4)}
+
+
+@pytest.mark.parametrize("scheme", [s for _, s in lattice.SCHEMES], ids=str)
+def test_lattice_schemes_meet_close_pairs(scheme):
+    rng = np.random.default_rng(1)
+    u, w = rng.normal(size=(2, 300, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    v = 0.9 * u + np.sqrt(0.19) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    (a, pa_), (b, pb) = lattice.cells(u, scheme), lattice.cells(v, scheme)
+    met = ((a == b) | (pa_ == b[:, :, None]).any(axis=2) | (pb == a[:, :, None]).any(axis=2)).any(axis=1)
+    assert met.mean() > 0.96
+    other = ((a == np.roll(b, 1, axis=0)) | (pa_ == np.roll(b, 1, axis=0)[:, :, None]).any(axis=2)).any(axis=1)
+    assert other.mean() < 0.02
+
+
+# memory
+
+
+def test_long_texts_without_spaces(spark):
+    """20 MB without a space, and 2,000 documents of CJK text without spaces, stay within bounds."""
+    import resource
+
+    used = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    count = token_count.PieceCounter(token_count.read_pieces(tokenizer_path("piece_bpe_32k.model")))
+    rng = random.Random(0)
+    letters = [chr(0x4E00 + k) for k in range(3000)]
+    long = "".join(rng.choices(letters, k=100_000))
+    assert count.count(long)[0] == int(count.part(token_count.SPACE + long).real) and not count.known
+    long, before = long * 67, used()  # 20 MB
+    assert count.count(long)[0] > 6_000_000
+    assert used() - before < 200 << 10
+    encoder = ChunkEncoder(tokenizer_path("byte_bpe_50k.json"), True)
+    before = used()
+    for _ in range(20):
+        encoder.encode(pa.array(["".join(rng.choices(letters, k=5000)) for _ in range(100)]))
+        count.count("".join(rng.choices(letters, k=5000)))
+    assert encoder.remembered_bytes() <= encoder.LIMIT + (8 << 20) and encoder.old.nbytes <= encoder.LIMIT + (8 << 20)
+    assert used() - before < 400 << 10

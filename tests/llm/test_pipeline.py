@@ -50,6 +50,46 @@ def test_run(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == stages[-1].count()
 
 
+CLASHING = "_key string, _h string, _blob string, _spans string, _toxicity string, key string, h string, row string, blob string, spans string, comp string"
+
+
+@pytest.fixture(scope="module")
+def odd_stages(spark, tmp_path_factory):
+    """All stages on rows with nulls, empties, repeats and ties, a long text and clashing names."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    plain = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) BETWEEN 300 AND 900").orderBy("doc_id").limit(3).collect()]
+    long = " ".join(f"word{k % 9973}x{k % 31}" for k in range(400_000))
+    rows = [(1, None), (2, ""), (2, ""), (None, None), (None, ""), (3, plain[0]), (3, plain[1]), (3, plain[1]), (4, plain[0]), (None, "a lone text without an id"),
+            (None, "another lone text without an id"), (5, long), (6, long + " more"), (7, "token=abcdefghijkl said once"), (8, "token=abcdefghijkl said once")]
+    extra = CLASHING.count(",") + 1
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *["x"] * extra) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}")
+    space, found = Workspace(spark, "t"), [docs.repartition(3)]
+    for name, stage in corpus_pipeline.STAGES:
+        found.append(space.table(stage(spark, found[-1], folder), name))
+    return folder, found
+
+
+def test_stages_on_odd_rows(odd_stages):
+    _, (docs, calm, unique, fresh, safe, packed) = odd_stages
+    assert all(x.columns == docs.columns for x in (calm, unique, fresh, safe)) and calm.count() == docs.count() == fresh.count() + 6
+    kept = [(r.doc_id, r.text) for r in unique.collect()]
+    assert len(kept) == len(set(kept)) and {(1, None), (2, ""), (7, "token=abcdefghijkl said once")} <= set(kept)
+    assert sum(i is None for i, _ in kept) == 3 and sum(i == 3 for i, _ in kept) == 2 and not {4, 6, 8} & {i for i, _ in kept}
+    texts = {r.doc_id: r.text for r in safe.filter("doc_id IN (1, 2, 7)").collect()}
+    assert texts == {1: None, 2: "", 7: "[REDACTED] said once"} and safe.filter("n_chars <> length(text)").count() == 0
+    assert safe.filter("_key = 'x' AND _h = 'x' AND _blob = 'x' AND _spans = 'x' AND _toxicity = 'x' AND row = 'x' AND comp = 'x'").count() == safe.count()
+    assert packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).filter("doc_id = 5 AND n = t").count() == 1
+
+
+def test_stages_on_empty_tables(spark, odd_stages):
+    folder, (docs, *_) = odd_stages
+    empty = docs.filter("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+
+
 def test_the_rest_imports_without_it():
     code = "import sys; sys.modules['quern.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 60 and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

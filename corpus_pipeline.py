@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its
-result is written as Parquet in the shared folder and reread as the next one's ``docs``.
+result is written as Parquet in the shared folder and reread as the next one's ``docs``. All but
+the last return the columns of ``docs``, whatever further ones there are and whatever their names;
+empty tables give empty tables, and texts are taken whole whatever their length.
 
 1. ``toxicity`` drops documents that score 0.7 or more.
 2. ``near_duplicates`` keeps one document of each group (five-word shingles, similarity 0.8).
@@ -13,30 +15,35 @@ result is written as Parquet in the shared folder and reread as the next one's `
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quern.llm import decontaminate, minhash, packing, secret_scan, toxicity
 from quern.llm.common import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_scores(docs, model, "_toxicity").filter(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    """Trains on the labelled rows of ``docs`` that aren't held out. Null and empty texts are kept;
+    rows with a null doc_id are scored but don't train; repeated rows are scored each."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component one row. Texts without words are linked with nothing, but of rows of one doc_id
+    and text one stays; different texts of one doc_id, or without one, stay unless they are linked."""
     return minhash.kept_documents(docs, Workspace(spark, "near-duplicates"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold no item and are kept; ids don't matter; repeated rows are judged each."""
     return decontaminate.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps every row, with null and empty texts as they are; ``n_chars`` is the new text's."""
     return secret_scan.redacted(docs, Workspace(spark, "secrets"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the end id alone; repeated rows are packed each."""
     return packing.pack_documents(docs)
 
 

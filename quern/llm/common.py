@@ -1,22 +1,21 @@
-"""What the training-data operators share: shared-folder tables, batching, hashing."""
+"""What the training-data operators share: batching, hashing, words; tables in the shared folder are the library's."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import sys
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.workspace import Workspace, finished_folders  # noqa: F401 for the operators
+
 #: Largest number of text bytes that a Python step holds as one slice.
 SLICE_BYTES = 4 << 20
 _MEMORIES: dict[tuple, object] = {}
@@ -45,65 +44,6 @@ def give_back() -> None:
             trim(0)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``. Only a local session without that
-    setting gets a folder of its own; a cluster without it is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="quern-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-class Workspace:
-    """Tables written to the shared folder, which cut lineage and survive lost executors.
-
-    ``drop`` deletes a table as soon as nothing reads it; the rest, which lazy results
-    still read, goes when the session's Python process ends or ``close`` is called.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
-
-    def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the JVM is gone, and with it a local session's folder
-            pass
-
-    def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        where = context._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def finished_folders(spark: SparkSession, folder: str) -> list[str]:
-    """The folders in a folder that Spark has marked as finished, in order of name."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path(folder)):
-        return []
-    found = sorted(f"{folder}/{s.getPath().getName()}" for s in fs.listStatus(path(folder)) if s.isDirectory())
-    return [x for x in found if fs.exists(path(f"{x}/_SUCCESS"))]
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches again, in pieces of about ``most`` bytes of ``column``."""
     for batch in batches:

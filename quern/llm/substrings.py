@@ -265,7 +265,7 @@ def repeated_ranges(docs: DataFrame, space: Workspace, width: int = WIDTH) -> Da
     space.drop("first")
     copied = copied.unionByName(unclear.filter("doc_id > first").drop("first"))
 
-    wanted = unclear.filter("doc_id = first").groupBy("doc_id", "h").agg(F.collect_set(F.struct("w0", "w1")).alias("ranges"))
+    wanted = unclear.filter("doc_id = first").groupBy("doc_id", "h").agg(F.array_distinct(F.collect_list(F.struct("w0", "w1"))).alias("ranges"))
     texts = squeezed(rows, "doc_id", "h").join(wanted, ["doc_id", "h"])
     windows = space.table(texts.mapInArrow(_window_rows(width), _WINDOWS), "windows")
     earliest = windows.groupBy("x1", "x2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
@@ -273,7 +273,7 @@ def repeated_ranges(docs: DataFrame, space: Workspace, width: int = WIDTH) -> Da
     single = space.table(windows.join(earliest, ["x1", "x2"]).filter("doc_id > least").select("doc_id", "h", F.col("w").alias("w0"), F.col("w").alias("w1")), "single")
     space.drop("windows", "earliest")
     # sets, not lists: repeated rows have the same windows
-    return copied.unionByName(single).groupBy("doc_id", "h").agg(F.collect_set(F.struct("w0", "w1")).alias("ranges"))
+    return copied.unionByName(single).groupBy("doc_id", "h").agg(F.array_distinct(F.collect_list(F.struct("w0", "w1"))).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, space: Workspace, width: int = WIDTH) -> DataFrame:

@@ -35,6 +35,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,8 @@ class Scheme:
 #: Up to how many vectors each scheme is for; unrelated vectors meet with probability 7e-4, 2e-4, 6e-6 and 3e-8.
 SCHEMES = ((200_000, Scheme(2, 0.55, 12)), (1_000_000, Scheme(2, 0.65, 22)), (20_000_000, Scheme(3, 0.55, 50)), (1 << 62, Scheme(4, 0.55, 168)))
 BLOCK = 512
+#: Groups up to this size are compared together with others.
+SMALL = 48
 SEED = 8
 
 
@@ -171,32 +174,56 @@ def _cell_rows(scheme: Scheme):
     return run
 
 
-def _first_meeting(i, j, own, probed, ids, cell) -> np.ndarray:
-    """Which pairs (i, j) meet in ``cell`` first: in no earlier table, and in the cell of the
-    smaller id if they meet in both of a table."""
-    a, b = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+def _first_meeting(a, b, own, probed, cell) -> np.ndarray:
+    """Which pairs, a the one of the smaller id, meet in ``cell`` first: in no earlier table, and in
+    the cell of the smaller id if they meet in both of a table."""
     in_a = (own[a] == own[b]) | (probed[b] == own[a][:, :, None]).any(axis=2)
     in_b = (probed[a] == own[b][:, :, None]).any(axis=2)
     table = (in_a | in_b).argmax(axis=1)
-    k = np.arange(len(i))
+    k = np.arange(len(a))
     return np.where(in_a[k, table], own[a, table], own[b, table]) == cell
 
 
-def verify_cell(scheme: Scheme, cell: int, ids, own_here, block, weight, vectors) -> list[tuple[int, int, int]]:
-    """(id, links, an id that it is connected with) from the pairs that first meet in this cell."""
+def close_pairs(count: np.ndarray, own: np.ndarray, block: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows of one group, given in a row with ``count`` rows each, one of which is stored there,
+    whose cosine reaches the threshold. In a group of two blocks only pairs across them count."""
     norms = np.sqrt((vectors * vectors).sum(axis=1))
-    stored = np.flatnonzero(own_here)
-    cosine = (vectors[stored] @ vectors.T) / np.outer(norms[stored], norms)
-    close = cosine >= COSINE
-    close &= ~own_here[None, :] | (ids[stored][:, None] < ids[None, :])
-    if block.min() != block.max():
-        close &= block[stored][:, None] != block[None, :]
-    x, j = np.nonzero(close)
-    if not len(x):
-        return []
-    i = stored[x]
-    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-    own, probed = cells(vectors[used] / norms[used][:, None], scheme)
+    first = np.cumsum(count) - count
+    # small groups all at once, pair by pair
+    row = np.flatnonzero(np.repeat(count <= SMALL, count))
+    behind = np.repeat(first + count, count)[row] - row - 1
+    i = np.repeat(row, behind)
+    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+    group = np.repeat(np.arange(len(count)), count)
+    lowest, highest = np.minimum.reduceat(block, first), np.maximum.reduceat(block, first)
+    fits = (own[i] | own[j]) & ((lowest == highest)[group[i]] | (block[i] != block[j]))
+    i, j = i[fits], j[fits]
+    found = [(np.zeros(0, np.int64),) * 2]
+    for k in range(0, len(i), 50_000):
+        p, q = i[k : k + 50_000], j[k : k + 50_000]
+        close = np.einsum("ij,ij->i", vectors[p], vectors[q]) / (norms[p] * norms[q]) >= COSINE
+        found.append((p[close], q[close]))
+    # large ones by a matrix product each
+    for g in np.flatnonzero(count > SMALL).tolist():
+        some = slice(first[g], first[g] + count[g])
+        stored = np.flatnonzero(own[some])
+        close = (vectors[some][stored] @ vectors[some].T) / np.outer(norms[some][stored], norms[some]) >= COSINE
+        close &= ~own[some][None, :] | (stored[:, None] < np.arange(count[g])[None, :])
+        if lowest[g] != highest[g]:
+            close &= block[some][stored][:, None] != block[some][None, :]
+        x, y = np.nonzero(close)
+        found.append((stored[x] + first[g], y + first[g]))
+    i, j = zip(*found, strict=True)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def count_links(scheme: Scheme, cell, i, j, ids, weight, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, links, an id that it is connected with) from the pairs that meet first in the cell of their rows."""
+    # one row of each id stands for all
+    used, at = np.unique(np.concatenate([ids[i], ids[j]]), return_inverse=True)
+    names, row = np.unique(ids, return_index=True)
+    row = row[np.searchsorted(names, used)]
+    own, probed = cells(vectors[row] / np.sqrt((vectors[row] ** 2).sum(axis=1))[:, None], scheme)
     links, parent = np.zeros(len(used), np.int64), list(range(len(used)))
 
     def root(k):
@@ -205,47 +232,50 @@ def verify_cell(scheme: Scheme, cell: int, ids, own_here, block, weight, vectors
             k = parent[k]
         return k
 
-    for k in range(0, len(i), 50_000):
-        p, q = at[: len(i)][k : k + 50_000], at[len(i) :][k : k + 50_000]
-        first = _first_meeting(p, q, own, probed, ids[used], cell)
+    step = max(1, 5_000_000 // (scheme.tables * PROBES))
+    for k in range(0, len(i), step):
+        p, q = at[: len(i)][k : k + step], at[len(i) :][k : k + step]
+        p, q = np.minimum(p, q), np.maximum(p, q)
+        first = _first_meeting(p, q, own, probed, cell[i[k : k + step]])
         p, q = p[first], q[first]
-        np.add.at(links, p, weight[used[q]])
-        np.add.at(links, q, weight[used[p]])
+        np.add.at(links, p, weight[row[q]])
+        np.add.at(links, q, weight[row[p]])
         for a, b in zip(p.tolist(), q.tolist(), strict=True):
             if (ra := root(a)) != (rb := root(b)):
                 parent[max(ra, rb)] = min(ra, rb)
-    return [(int(ids[used[k]]), int(n), int(ids[used[root(k)]])) for k, n in enumerate(links) if n]
+    some = np.flatnonzero(links)
+    return used[some], links[some], used[[root(k) for k in some.tolist()]]
 
 
 def _verify(scheme: Scheme):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[int, int, int]] = []
-        key, held = None, []
-
-        def close():
-            if len(held) > 1 and any(h[1] for h in held):
-                ids, own, block, weight, x = zip(*held, strict=True)
-                vectors = np.array([np.frombuffer(v, np.float64) for v in x])
-                done.extend(verify_cell(scheme, key[0], np.array(ids), np.array(own), np.array(block), np.array(weight), vectors))
-
-        def out():
-            columns = [pa.array(c, pa.int64()) for c in zip(*done, strict=True)]
-            done.clear()
-            return pa.RecordBatch.from_arrays(columns, ["u", "links", "v"])
+    def links_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Of whole groups."""
+        sizes = pc.binary_length(batch.column("x")).to_numpy()
+        for size in np.unique(sizes).tolist():
+            some = batch.filter(pa.array(sizes == size))
+            cell, low, high, ids, own, block, weight = (some.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "low", "high", "id", "own", "block", "weight"))
+            new = np.append(True, (cell[1:] != cell[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            vectors = np.frombuffer(b"".join(some.column("x").to_pylist()), np.float64).reshape(len(ids), -1)
+            i, j = close_pairs(np.diff(np.append(np.flatnonzero(new), len(ids))), own, block, vectors)
+            if len(i):
+                columns = count_links(scheme, cell, i, j, ids, weight, vectors)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["u", "links", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "low", "high", "id", "own", "block", "weight", "x")), strict=True):
-                    if row[:3] != key:
-                        close()
-                        key, held = row[:3], []
-                    held.append(row[3:])
-                if len(done) > 10_000:
-                    yield out()
-        close()
-        if done:
-            yield out()
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                if held is not None:
+                    batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                # the last group may go on
+                changes = [np.flatnonzero(np.diff(batch.column(c).to_numpy())) for c in ("cell", "low", "high")]
+                last = max((int(x[-1]) + 1 for x in changes if len(x)), default=0)
+                held = batch.slice(last)
+                if last:
+                    yield from links_of(batch.slice(0, last))
+        if held is not None:
+            yield from links_of(held)
 
     return run
 

@@ -11,7 +11,7 @@
 3. *Extreme-value calibration.* The score S of the best segment of n words by chance exceeds x
    with probability 1 - exp(-K n exp(-lambda x)) (Karlin and Altschul). lambda solves
    E[exp(lambda s)] = 1 over the words of other training documents, and K is the maximum-likelihood
-   estimate from their best segments. ``lambda S - log(K n)`` of the best segment, and the sum of
+   estimate from their best segments. ``lambda S - log(K n)`` of the best segment (K n at least 1), and the sum of
    these over all segments with an expected number of ``EXPECTED`` by chance or less, are a
    document's features.
 4. A logistic fit on the features of the training documents turns them into a probability.
@@ -83,14 +83,15 @@ class Model:
             first = end
 
     def nats(self, score: float, length: int) -> float:
-        """How unlikely a segment is in other documents of so many words; above 0 if its expected number is below 1."""
-        return self.rate * score - math.log(self.k * max(length, 1))
+        """How unlikely a segment is in other documents of so many words; above 0 if its expected number is
+        below 1. The law holds for long texts; in short ones, too, one segment of score 0 is expected."""
+        return self.rate * score - math.log(max(1.0, self.k * length))
 
     def features(self, scores: np.ndarray) -> tuple[float, float]:
         """Of the best segment, and of all significant ones."""
-        best = self.nats(best_segment(scores), len(scores))
-        if best < -math.log(EXPECTED):
-            return max(0.0, best), 0.0
+        best = max(0.0, self.nats(best_segment(scores), len(scores)))
+        if best <= -math.log(EXPECTED):
+            return best, 0.0
         found = [self.nats(s, len(scores)) for s, _, _ in segments_of(scores)]
         return best, sum(x for x in found if x >= -math.log(EXPECTED))
 

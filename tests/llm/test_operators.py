@@ -193,6 +193,25 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_query_piece_by_piece(spark):
+    """Each piece's ids against the tokenizer's own, and each sequence against the format."""
+    plain = load(tokenizer_path("word_bpe_49k.json"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    ids = dict(zip(texts, ([*e.ids, 1] for e in plain.encode_batch(list(texts.values()), add_special_tokens=False)), strict=True))
+    rows = queries.QUERIES["op3_packing"](spark, DATA).collect()
+    of_doc, of_sequence = {}, {}
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.doc_tokens == len(ids[r.doc_id]) and len(piece) == r.length > 0 and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
+        of_doc.setdefault(r.doc_id, []).append((r.start, r.length))
+        of_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans, ends in [(sorted(v), len(ids[k])) for k, v in of_doc.items()] + [(sorted(v), None) for v in of_sequence.values()]:
+        assert [a for a, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1]] and sum(n for _, n in spans) == (ends or sum(n for _, n in spans)) <= (ends or 2048)
+    assert set(of_doc) == set(ids)
+    filled = [sum(n for _, n in v) for v in of_sequence.values()]
+    assert sum(2048 - n for n in filled if n & (n - 1)) <= sum(filled) / 8 + 2048
+
+
 # substrings
 
 
@@ -333,6 +352,32 @@ def test_decontamination_finds_what_whole_alignment_finds(seed):
     assert hits > 30
 
 
+def test_decontamination_query_against_all_pairs(spark, tmp_path):
+    """The query against an alignment of every document with every item."""
+    rng = random.Random(5)
+    items = [(k, prose(6000 + k, rng.randint(5, 30))) for k in range(10)] + [(10, "a short one"), (11, "w1 w2 w1 w2 w3 w1"), (12, "")]
+    docs = [(0, None), (1, "")]
+    for i in range(2, 90):
+        words = prose(7000 + i, rng.randint(0, 30)).split()
+        for word in rng.choice(items)[1].split(" "):  # kept, replaced, added to or left out
+            words += rng.choice([[word]] * rng.randint(2, 12) + [["x"], [word, "y"], []])
+        docs.append((i, " ".join(words + prose(8000 + i, rng.randint(0, 20)).split())))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda text: re.sub("[^a-z0-9]", " ", (text or "").lower()).split()
+    want = {}
+    for item, words in [(k, plain(t)) for k, t in items]:
+        for doc, text in docs:
+            if len(words) < decontaminate.GRAM:
+                score = 1.0 if words and f" {' '.join(words)} " in f" {' '.join(plain(text))} " else 0.0
+            else:
+                score = plain_align(words, plain(text)) / len(words)
+            if score >= decontaminate.THRESHOLD:
+                want[doc, item] = score
+    got = {(r.doc_id, r.item_id): r.score for r in queries.QUERIES["op5_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == want and len(want) > 40
+
+
 # secrets
 
 
@@ -544,6 +589,54 @@ def test_maximal_segments(seed):
     assert [(round(s, 6), a, b) for s, a, b in got] == [(round(s, 6), a, b) for s, a, b in want]
 
 
+def brute_segments_of(scores):
+    """As brute_segments, for long sequences: the best segment from running sums, then both sides."""
+    parts, found = [(0, list(scores))], []
+    while parts:
+        offset, s = parts.pop()
+        total, low, at, best = 0.0, 0.0, 0, (1e-12, None)
+        for i, x in enumerate(s):
+            if total <= low:
+                low, at = total, i
+            total += x
+            if total - low > best[0]:
+                best = (total - low, (at, i + 1))
+        if best[1]:
+            a, b = best[1]
+            found.append((best[0], offset + a, offset + b - 1))
+            parts += [(offset, s[:a]), (offset + b, s[b:])]
+    return sorted(found, key=lambda x: x[1])
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Every score of the query from the model's numbers alone, with segments found by definition."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in queries.QUERIES["op10_toxicity"](spark, DATA).collect()}
+    mark = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: re.sub("[\x00-/:-@\\[-`{-\x7f]", " ", (r.text or "").lower()).split() for r in docs.collect()}
+    # the words' odds from counts of documents
+    trained = [k for k in texts if mark.get(k) in (0, 1) and zlib.crc32(str(k).encode()) % 3 != 1]
+    counts = [Counter(w for k in trained if mark[k] == kind for w in set(texts[k])) for kind in (0, 1)]
+    mass = [sum(c.values()) for c in counts]
+    for word in {*counts[0], *counts[1]}:
+        n = [c[word] for c in counts]
+        prior = toxicity.PRIOR * sum(n)
+        odds = [np.log((a + prior) / (m + toxicity.PRIOR * sum(mass) - a - prior)) for a, m in zip(n, mass, strict=True)]
+        bound = abs(odds[1] - odds[0]) - toxicity.Z * (1 / (n[0] + prior) + 1 / (n[1] + prior)) ** 0.5
+        expected = np.sign(odds[1] - odds[0]) * bound if sum(n) >= toxicity.MIN_DOCS and bound > 0 else 0.0
+        assert model.words.get(word, 0.0) == pytest.approx(expected, abs=1e-9)
+    scores = {k: [model.words.get(w, 0.0) - toxicity.DRIFT for w in words] for k, words in texts.items()}
+    best = lambda s: max((sum(s[a:b]) for a, x in enumerate(s) if x > 0 for b in range(a + 1, min(len(s), a + 200) + 1)), default=0.0)
+    assert model.k == pytest.approx(1 / np.mean([len(s) * np.exp(-model.rate * max(0.0, toxicity.best_segment(np.array(s)))) for k, s in scores.items() if k in trained and not mark[k] and s]))
+    for k, s in scores.items():
+        if len(s) < 400:
+            assert toxicity.best_segment(np.array(s)) == pytest.approx(best(s), abs=1e-9)
+        nats = [x for x in (model.rate * v - np.log(max(1.0, model.k * len(s))) for v, _, _ in brute_segments_of(s)) if x >= 0]
+        x = np.array([1.0, np.log1p(max(nats, default=0.0)), np.log1p(sum(nats))])
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-(x @ model.weights))), abs=1e-9) and got[k].predicted == (got[k].score >= 0.7)
+
+
 def test_toxicity(spark, none):
     rng, rows, labels = random.Random(0), [], []
     for k in range(600):

@@ -1,5 +1,7 @@
 """The pipeline's stages against what they must keep, and the package without this subpackage."""
 
+import random
+import re
 import subprocess
 import sys
 
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import decontaminate, minhash, secret_scan, toxicity
 from quern.llm.common import Workspace
+from quern.llm.tokens import load, tokenizer_path
 from tests.conftest import DATA, ROOT
+from tests.llm.test_operators import classes_of, plain_align, prose
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -90,6 +94,61 @@ def test_stages_on_empty_tables(spark, odd_stages):
         assert stage(spark, empty, folder).count() == 0
 
 
+def test_run_against_brute_force(spark, tmp_path):
+    """All stages together against plain versions of each: what stays, and the ids that are packed."""
+    rng = random.Random(11)
+    items = {k: prose(9000 + k, 20) for k in range(4)}
+    docs, labels = {}, {}
+    for i in range(160):
+        words = prose(9100 + i, rng.randint(30, 90)).split(" ")
+        if i % 4 == 0:
+            for _ in range(6):
+                words[rng.randrange(len(words))] = rng.choice(["vile", "awful", "nasty"])
+        labels[i] = int(i % 4 == 0)
+        docs[i] = " ".join(words)
+    for i in range(160, 200):  # near copies, some of which reach the threshold only by way of others
+        words = docs[161 if i > 180 else i % 20 + 1].split(" ") if i != 161 else prose(9500, 80).split(" ")
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = "edited"
+        docs[i] = " ".join(words)
+    for i in range(200, 220):
+        passage = [w if rng.random() < 0.8 else "z" for w in rng.choice(items).split(" ")]
+        docs[i] = " ".join(prose(9600 + i, 30).split(" ") + passage + prose(9700 + i, 30).split(" "))
+    for i in range(220, 230):
+        docs[i] = prose(9800 + i, 40) + f" password = 'abc{i}def' and AKIA{'ABCDEFGH' * 2}{i} " + "0a" * 14
+    docs |= {230: None, 231: ""}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(labels.items()), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    toxic = {i for i, t in docs.items() if len({"vile", "awful", "nasty"} & set((t or "").split())) > 1}
+    left = [i for i in docs if i not in toxic]
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i in left if (w := (docs[i] or "").split())}
+    named = sorted(shingles)
+    near = lambda a, b: 100 * len(shingles[named[a]] & shingles[named[b]]) >= 80 * len(shingles[named[a]] | shingles[named[b]])
+    roots = classes_of(len(named), near)
+    left = sorted({named[r] for r in roots} | ({230, 231} & set(left)))
+    assert len(roots) - len(set(roots)) >= 15
+    hit = {i for i in left for t in items.values() if plain_align(t.split(" "), (docs[i] or "").split()) >= 10}
+    assert len(hit) > 10
+    clean = {}
+    for i in left:
+        text, spans = docs[i] or "", []
+        for _, pattern, least in secret_scan.RULES:
+            spans += [m.span() for m in re.finditer(pattern, text, re.A) if len(m.group(m.lastindex or 0)) >= least]
+        for a, b in sorted(spans, reverse=True):  # they don't overlap here
+            text = f"{text[:a]}[REDACTED]{text[b:]}"
+        clean[i] = text
+    plain = load(tokenizer_path("word_bpe_49k.json"))
+    want = {i: [*plain.encode(clean[i], add_special_tokens=False).ids, 1] for i in left if i not in hit}
+    got = {}
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id] += r.ids
+    assert got == want and sum("REDACTED" in clean[i] for i in want) == 10
+
+
 def test_the_rest_imports_without_it():
     code = "import sys; sys.modules['quern.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 60 and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

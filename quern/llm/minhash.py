@@ -164,9 +164,10 @@ def _identified(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("text")).withColumn("key", F.coalesce("doc_id", F.lit(_LEAST_ID)))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, size: int, space: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) that are linked, as (u, v)."""
-    parts = pairs.groupBy("b").agg((1 + F.floor(F.count("a") / PART)).cast("int").alias("parts"))
+    # written before it is joined: beside an aggregation Spark wouldn't split the members of a hot leader
+    parts = space.table(pairs.groupBy("b").agg((1 + F.floor(F.count("a") / PART)).cast("int").alias("parts")), name)
     members = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("b", "part", "a")
     members = members.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "z")
     leaders = parts.join(texts.withColumnRenamed("id", "b"), "b")
@@ -201,7 +202,7 @@ def _grouped(docs: DataFrame, space: Workspace, size: int) -> DataFrame:
     grouped = space.table(banded.join(groups, "band"), "grouped")  # id, n, band, b: classes that share a band
     texts = _texts(rows, classes.join(grouped.select("id").distinct(), "id", "left_semi"), space)
     first = space.table(_fitting(grouped.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), classes), "first")
-    links = space.table(_links(first, texts, size), "links")
+    links = space.table(_links(first, texts, size, space, "first-parts"), "links")
     found = components(links, space, "near")
 
     # bands in which the first step left several components
@@ -216,11 +217,12 @@ def _grouped(docs: DataFrame, space: Workspace, size: int) -> DataFrame:
     pairs = left.join(right, "band").filter(f"a > b AND compa <> compb AND {possible('a', 'b')} AND {once}").select("a", "b").distinct()
     second = space.table(pairs, "second")
     if not second.isEmpty():
-        more = space.table(_links(second, texts, size), "more-links")
+        more = space.table(_links(second, texts, size, space, "second-parts"), "more-links")
         found = components(links.unionByName(more), space, "all")
 
     of_class = classes.select("s", "id", "least").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    least = of_class.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_class = space.table(of_class.select("s", "least", "comp"), "of-class")
+    least = space.table(of_class.groupBy("comp").agg(F.min("least").alias("component_id")), "least")
     named_class = of_class.join(least, "comp").select("s", "component_id", "comp")
     joined = sketch.select("doc_id", "h", F.col("n").alias("n_shingles"), "s").join(named_class, "s", "left")
     return joined.select("doc_id", "h", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "comp")

@@ -23,20 +23,21 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import groupby, islice
-from operator import itemgetter
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import remembered, slices, strings
+from quern.llm.common import remembered, slices
 from quern.llm.tokens import tokenizer_path
 
 SPACE = "▁"
 #: Fixed value of the public tokenizer.
 UNKNOWN_PENALTY = 10.0
-_PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_PARTS = re.compile(" +[^ ]*|[^ ]+")
 
 
 def read_pieces(path: str) -> list[tuple[str, float]]:
@@ -48,10 +49,8 @@ def read_pieces(path: str) -> list[tuple[str, float]]:
 
 
 class PieceCounter:
-    #: Bytes of remembered parts, and the longest remembered part.
-    LIMIT, LONGEST = 96 << 20, 64
-    #: Parts that are looked at together.
-    PARTS = 20_000
+    #: Bytes of remembered parts in one of two generations, and of the longest remembered part.
+    LIMIT, LONGEST = 16 << 20, 64
 
     def __init__(self, pieces: list[tuple[str, float]]):
         import ahocorasick
@@ -66,51 +65,64 @@ class PieceCounter:
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.single = {piece for piece, _ in pieces if len(piece) == 1}
         self.longest = max((len(piece) for piece, _ in pieces), default=1)
-        #: Pieces and score of a part, as the real and the imaginary number.
-        self.known: dict[str, complex] = {}
-        self.bytes = 0
+        #: Parts, and the pieces and score of each.
+        self.known = self.old = (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0))
 
-    def part(self, text: str) -> complex:
+    def part(self, text: str) -> tuple[int, float]:
         """Count and score of the best segmentation of a part."""
-        ring = self.longest + 1  # place k holds what was best up to character k, modulo this
-        score, count = [0.0] * ring, [0] * ring
-        ends = groupby(self.automaton.iter(text), itemgetter(0))
-        at, found = next(ends, (-1, ()))
-        for end, char in enumerate(text):
-            best, pieces = None, 0
-            if at == end:
-                for _, (size, value) in sorted(found, reverse=True):  # those that start first
-                    place = (end + 1 - size) % ring
-                    value += score[place]
-                    if best is None or value > best:
-                        best, pieces = value, count[place] + 1
-                at, found = next(ends, (-1, ()))
-            if char not in self.single:
-                value = score[end % ring] + self.unknown
-                if best is None or value > best:
-                    best, pieces = value, count[end % ring] + len(char.encode())
-            score[(end + 1) % ring], count[(end + 1) % ring] = best, pieces
-        return complex(count[len(text) % ring], score[len(text) % ring])
-
-    def count(self, text: str) -> tuple[int, float]:
-        if not text:
-            return 0, 0.0
-        text = text.replace(" ", SPACE)
-        found = (m.group() for m in _PARTS.finditer(text if text[0] == SPACE else SPACE + text))
-        known, both = self.known, 0j
-        while parts := list(islice(found, self.PARTS)):
-            long = {}
-            for x in [x for x in set(parts) if x not in known]:
-                if len(x) <= self.LONGEST:
-                    known[x] = self.part(x)
-                    self.bytes += 200 + 4 * len(x)
-                else:
-                    long[x] = self.part(x)
-            both = sum((known[x] if x in known else long[x] for x in parts), both)
-            if self.bytes > self.LIMIT:
-                known.clear()
-                self.bytes = 0
-        return int(both.real), both.imag
+        room = min(len(text), self.longest) + 1  # place k holds what is best up to character k, modulo this
+        score, count = [0.0] * room, [0] * room
+        at, best, pieces, size = 0, None, 0, 0
+        for end, (length, value) in chain(self.automaton.iter(text), ((len(text), (0, 0.0)),)):
+            while at < end:  # all pieces that end before this one have been seen
+                if text[at] not in self.single:
+                    other = score[at % room] + self.unknown
+                    if best is None or other > best:
+                        best, pieces = other, count[at % room] + len(text[at].encode())
+                at += 1
+                score[at % room], count[at % room] = best, pieces
+                best, size = None, 0
+            start = (end + 1 - length) % room
+            value += score[start]
+            if best is None or value > best or value == best and length > size:  # of equals the one that starts first
+                best, pieces, size = value, count[start] + 1, length
+        return count[at % room], score[at % room]
+
+    def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and best score of each text."""
+        if not len(texts):
+            return np.zeros(0, np.int64), np.zeros(0)
+        plain = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ")
+        bare = pc.and_(pc.not_equal(plain, ""), pc.invert(pc.starts_with(plain, " ")))
+        plain = pc.if_else(bare, pc.binary_join_element_wise(" ", plain, ""), plain)
+        if pc.any(pc.match_substring(plain, "\0")).as_py():
+            parts = pa.array([_PARTS.findall(x) for x in plain.to_pylist()], pa.list_(pa.string()))
+        else:
+            parts = pc.split_pattern(pc.replace_substring_regex(plain, " +", "\0\\0"), "\0")
+        coded = parts.flatten().dictionary_encode()
+        found, which = self._parts(coded.dictionary), coded.indices.to_numpy()
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        # scores are whole numbers, so differences of running sums are exact
+        return tuple(np.diff(np.concatenate(([0], np.cumsum(x[which])))[offsets]) for x in found)
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces and score of distinct parts."""
+        if self.known[0].nbytes + 16 * len(self.known[0]) > self.LIMIT:
+            self.old, self.known = self.known, (pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0))
+        counts, scores, missing = np.zeros(len(parts), np.int64), np.zeros(len(parts)), np.arange(len(parts))
+        for names, known_counts, known_scores in (self.known, self.old):
+            places = pc.fill_null(pc.index_in(parts.take(pa.array(missing)), value_set=names), -1).to_numpy()
+            there = places >= 0
+            counts[missing[there]], scores[missing[there]] = known_counts[places[there]], known_scores[places[there]]
+            if names is self.known[0]:
+                new = missing = missing[~there]
+            else:
+                missing = missing[~there]
+        for k, x in zip(missing.tolist(), parts.take(pa.array(missing)).to_pylist(), strict=True):
+            counts[k], scores[k] = self.part(x.replace(" ", SPACE))
+        short = new[pc.less_equal(pc.binary_length(parts.take(pa.array(new))), self.LONGEST).to_numpy(zero_copy_only=False)]
+        self.known = (pa.concat_arrays([self.known[0], parts.take(pa.array(short))]), np.append(self.known[1], counts[short]), np.append(self.known[2], scores[short]))
+        return counts, scores
 
 
 def counter(path: str) -> PieceCounter:
@@ -121,9 +133,8 @@ def counter(path: str) -> PieceCounter:
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path).count
-        for batch in slices(batches, "text"):
-            found = [count(x) for x in strings(batch, "text")]
-            counts, scores = zip(*found, strict=True)
+        for batch in slices(batches, "text", 8 << 20):
+            counts, scores = count(batch.column("text"))
             columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "score"])
 

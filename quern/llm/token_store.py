@@ -4,6 +4,7 @@ File format. A table in the shared folder has one row per shard; a shard holds c
 documents in ascending ``doc_id`` order (null first) and is self-contained but for the
 dictionary, which is named by its hash:
 
+* ``part``, ``shard``: its range of doc_id and place there; ``before``: tokens of the shards before it there;
 * ``first_doc``, ``last_doc``, ``n_docs``, ``n_tokens``: for pruning and prefix sums;
 * ``dictionary``: the first 16 hex digits of the dictionary's SHA-256;
 * ``index``: for each document, as little-endian int64: doc_id, 1 if doc_id is null, offset in
@@ -46,11 +47,13 @@ SHARD_BYTES, SHARD_DOCS = 4 << 20, 4096
 LEVEL = 1
 #: Least documents in a range of doc_id, on average.
 RANGE_DOCS = 1000
+#: Partitions whose totals are broadcast at most.
+PARTS = 1_000_000
 #: Text bytes that are encoded together: each distinct chunk among them is looked up once.
 ENCODE_BYTES = 8 << 20
 
 _SHARDS = (
-    "part long, shard long, first_doc long, last_doc long, n_docs long, n_tokens long, "
+    "part long, shard long, before long, first_doc long, last_doc long, n_docs long, n_tokens long, "
     "dictionary string, width int, index binary, blob binary"
 )
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -107,16 +110,16 @@ def _write(width: int, dictionary: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, _ = _codec(dictionary)
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, before = TaskContext.get().partitionId(), 0, 0
         index, blobs, size, raw = [], [], 0, 0
 
         def out():
-            nonlocal index, blobs, size, raw, shard
-            ids = [x[0] for x in index if not x[1]]
-            row = [part, shard, min(ids, default=None), max(ids, default=None), len(index), sum(x[4] for x in index)]
+            nonlocal index, blobs, size, raw, shard, before
+            ids, tokens = [x[0] for x in index if not x[1]], sum(x[4] for x in index)
+            row = [part, shard, before, min(ids, default=None), max(ids, default=None), len(index), tokens]
             row += [name, width, np.array(index, "<i8").tobytes(), b"".join(blobs)]
-            shard, index, blobs, size, raw = shard + 1, [], [], 0, 0
-            kinds = [pa.int64()] * 6 + [pa.string(), pa.int32(), pa.binary(), pa.binary()]
+            shard, before, index, blobs, size, raw = shard + 1, before + tokens, [], [], 0, 0
+            kinds = [pa.int64()] * 7 + [pa.string(), pa.int32(), pa.binary(), pa.binary()]
             names = [x.split()[0] for x in _SHARDS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
@@ -177,17 +180,13 @@ def write_store(docs: DataFrame, space: Workspace, path: str | None = None, end:
 
 
 def with_starts(shards: DataFrame) -> DataFrame:
-    """Adds ``start``: tokens of all shards before. Partition totals first, so that the one
-    window over everything has a row per written partition, not per shard."""
+    """Adds ``start``: tokens of all shards before. Only totals by partition, of which there are few, are
+    summed and joined; blobs stay where they are unless there are more of these than ``PARTS``."""
     totals = shards.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(F.col("part").alias("of_part"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    light = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inner"))
-    starts = light.join(bases, light.part == bases.of_part).select(
-        F.col("part").alias("p"), F.col("shard").alias("s"), (F.col("base") + F.col("inner")).alias("start")
-    )
-    return shards.join(starts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s"))).drop("p", "s")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("part").alias("of_part"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    bases = F.broadcast(bases) if totals.count() <= PARTS else bases  # 16 bytes each
+    return shards.join(bases, F.col("part") == F.col("of_part")).withColumn("start", F.col("base") + F.col("before")).drop("of_part", "base")
 
 
 def documents_of(index: bytes, blob: bytes, width: int, unpress) -> Iterator[tuple[int | None, bytes]]:

@@ -17,8 +17,8 @@ lower-casing A-Z; with fewer words, the whole sequence as one), as 64-bit hashes
   several components go on, with all pairs of classes from different ones. Before any text is
   fetched, sizes and bitmaps of the sets rule out pairs that can't be linked (and no other),
   inside the join, and a pair comes out of one band alone. So the join makes few rows even for a group whose members nearly reach the
-  threshold, although within a band it compares them all by their bitmaps. No candidate is
-  dropped.
+  threshold, although within a band it compares them all by their bitmaps; a large band is dealt
+  to parts of about ``SPREAD`` classes, so that tasks share it. No candidate is dropped.
 
 A verification ships the member's text to its leader's; the members of one leader are dealt to
 parts of ``PART`` at most, so a hot leader is spread.
@@ -48,6 +48,8 @@ T = BANDS * ROWS
 #: Links: PERCENT * union <= 100 * intersection.
 PERCENT = 80
 PART = 256
+#: Classes of a band, on one side, that one task compares with the band's others.
+SPREAD = 1024
 #: Bits in which sets are compared before texts are.
 BITS = 2048
 _LEAST_ID = -(1 << 63)
@@ -208,13 +210,16 @@ def _grouped(docs: DataFrame, space: Workspace, size: int) -> DataFrame:
     # bands in which the first step left several components
     named = grouped.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("comp", "id").alias("comp"))
     named = space.table(named, "named")
-    several = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("band")
+    several = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("id").alias("members")).filter("low < high")
+    several = several.select("band", (1 + F.floor(F.col("members") / SPREAD)).cast("int").alias("parts"))
     rest = named.join(space.table(several, "several"), "band").join(classes.select("id", "bits", "bands"), "id")
     rest = space.table(rest, "rest")
-    left, right = (rest.select("band", *(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in ("id", "n", "comp", "bits", "bands"))) for x in "ab")
+    # one side of a band is dealt to its parts, the other meets each of them
+    part = {"a": F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), "b": F.explode(F.expr("sequence(0, parts - 1)"))}
+    left, right = (rest.select("band", part[x].alias("part"), *(F.col(c).alias(x if c == "id" else f"{c}{x}") for c in ("id", "n", "comp", "bits", "bands"))) for x in "ab")
     # a pair that shares several bands comes out of the least one
     once = "array_min(array_intersect(bandsa, bandsb)) = band"
-    pairs = left.join(right, "band").filter(f"a > b AND compa <> compb AND {possible('a', 'b')} AND {once}").select("a", "b").distinct()
+    pairs = left.join(right, ["band", "part"]).filter(f"a > b AND compa <> compb AND {possible('a', 'b')} AND {once}").select("a", "b").distinct()
     second = space.table(pairs, "second")
     if not second.isEmpty():
         more = space.table(_links(second, texts, size, space, "second-parts"), "more-links")

@@ -509,6 +509,13 @@ def test_minhash(spark, size, none):
     assert minhash.near_duplicates(none, Workspace(spark, "t"), size).count() == 0 and minhash.kept_documents(none, Workspace(spark, "t"), size).count() == 0
 
 
+def test_minhash_of_split_groups(spark, none, monkeypatch):
+    """Bands and members of a leader that are dealt to several parts give the same components."""
+    monkeypatch.setattr(minhash, "SPREAD", 2)
+    monkeypatch.setattr(minhash, "PART", 2)
+    test_minhash(spark, 2, none)
+
+
 def test_minhash_on_odd_rows(spark, odd):
     rows = minhash.near_duplicates(odd, Workspace(spark, "t")).collect()
     assert len(rows) == odd.count()
